@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from porelake.llm import simhash
+from porelake.llm import decontaminate, html, langid, simhash
 from porelake.llm.common import table
 
 
@@ -14,5 +14,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(table(sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(spark.read.parquet(table(sf_dir, "documents")), spark.read.parquet(table(sf_dir, "benchmark")))
+    return decontaminate.report(found)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark.read.parquet(table(sf_dir, "documents")))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(table(sf_dir, "pages")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_language_id, op4_html_extraction)}
+ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
