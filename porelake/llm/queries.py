@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from porelake.llm import decontaminate, html, langid, simhash
+from porelake.llm import decontaminate, html, langid, packing, quality, simhash, store, warc
 from porelake.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file; the package that holds them isn't part of this library."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(table(sf_dir, "documents")))
 
@@ -27,5 +34,23 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(spark.read.parquet(table(sf_dir, "pages")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_language_id, op4_html_extraction)}
-ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark.read.parquet(table(sf_dir, "documents")), vocabulary("word_bpe_49k.json"))
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(table(sf_dir, "pages")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark.read.parquet(table(sf_dir, "documents")))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.round_trip(spark.read.parquet(table(sf_dir, "documents")), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_language_id, op4_html_extraction, op5_best_fit_packing, op6_warc_round_trip, op8_quality_rules, op10_token_store)
+}
+ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op6_warc_round_trip": warc.ORACLE, "op8_quality_rules": quality.ORACLE}
