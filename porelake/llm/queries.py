@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from porelake.llm import decontaminate, html, langid, packing, quality, simhash, store, warc
+from porelake.llm import decontaminate, html, langid, licences, packing, quality, simhash, store, tokencount, warc
 from porelake.llm.common import table
 
 
@@ -42,15 +42,40 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(table(sf_dir, "pages")))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(spark.read.parquet(table(sf_dir, "documents")), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark.read.parquet(table(sf_dir, "documents")))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(spark.read.parquet(table(sf_dir, "documents")))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.round_trip(spark.read.parquet(table(sf_dir, "documents")), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_language_id, op4_html_extraction, op5_best_fit_packing, op6_warc_round_trip, op8_quality_rules, op10_token_store)
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_decontamination,
+        op3_language_id,
+        op4_html_extraction,
+        op5_best_fit_packing,
+        op6_warc_round_trip,
+        op7_token_counts,
+        op8_quality_rules,
+        op9_licence_scan,
+        op10_token_store,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE,
+    "op6_warc_round_trip": warc.ORACLE,
+    "op8_quality_rules": quality.ORACLE,
+    "op9_licence_scan": licences.oracle_sql(),
 }
-ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op6_warc_round_trip": warc.ORACLE, "op8_quality_rules": quality.ORACLE}

@@ -42,15 +42,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): a row for each row of docs, the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): a row for each row of docs, the fingerprint as a signed long."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(codes.view(np.int64))], ["doc_id", "fp"])
+            codes = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(rows, "doc_id long, text_hash long, fp long")
 
 
 class BKTree:
@@ -187,6 +188,19 @@ def links(codes: DataFrame, radius: int = RADIUS, spare: int = SPARE, tree_size:
     return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(groups, "a long, b long")
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, spare: int, tree_size: int) -> DataFrame:
+    """(doc_id, text_hash, fp, first): first is the (no_id, doc_id, text_hash) of the component's first row, by id, nulls last, then text hash."""
+    fps = staged(fingerprints(docs, id_col, text_col, shingle))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = staged(fps.groupBy("fp").agg(F.min(row).alias("first")))
+    roots = components(links(nodes.select("fp"), radius, spare, tree_size))
+    labelled = nodes.join(roots, nodes.fp == roots.vertex, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    linked = labelled.join(roots.select("root").distinct(), "root", "left_semi")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("of_all"))
+    named = labelled.join(smallest, "root", "left").select("fp", F.coalesce("of_all", "first").alias("first"))
+    return fps.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, spare: int = SPARE, tree_size: int = TREE_SIZE) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of docs, whatever other columns docs has.
 
@@ -194,12 +208,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint zero and is linked like any other. A null doc_id takes part but is never the smallest; a component of null
     ids only has a null component_id. Repeated rows come back as often. An empty table gives no rows.
     """
-    fps = staged(fingerprints(docs, id_col, text_col, shingle))
-    nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp"), radius, spare, tree_size))
-    labelled = nodes.join(roots, nodes.fp == roots.vertex, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = labelled.join(roots.select("root").distinct(), "root", "left_semi")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(smallest, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = fps.join(named, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = grouped(docs, id_col, text_col, shingle, radius, spare, tree_size)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def first_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, spare: int = SPARE, tree_size: int = TREE_SIZE) -> DataFrame:
+    """The rows of docs with all their columns, one for each component: that of the smallest doc_id, nulls last, ties by text.
+
+    Of repeated rows of that one id and text, one stays.
+    """
+    rows = staged(grouped(docs, "doc_id", "text", shingle, radius, spare, tree_size).select("doc_id", "text_hash", "first"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gone = rows.where(~same).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    kept = hashed.join(gone, hashed["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (hashed["_text_hash"] == gone["_hash"]), "left_anti")
+    if rows.where(same).groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "_text_hash"])
+    return kept.drop("_text_hash")
