@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -28,8 +29,8 @@ MAGIC = b"PLCHUNK1"
 DIGEST = 16
 #: Ids that the rolling hash sees; a cut falls where its top CUT_BITS bits are zero, between LEAST and MOST ids apart.
 REACH, CUT_BITS, LEAST, MOST = 16, 8, 64, 2048
-#: Chunks and open packs that a reading worker remembers.
-KEPT_CHUNKS, KEPT_FILES = 4096, 32
+#: A reading worker reads ranges of so many bytes and remembers so many of them, and so many open packs.
+RANGE, KEPT_RANGES, KEPT_FILES = 1 << 18, 64, 32
 
 
 @dataclass
@@ -80,18 +81,54 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+_COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _encoded_chunk(content: bytes) -> bytes:
     """Width (2 or 4 bytes an id) and the compressed ids."""
     ids = np.frombuffer(content, "<u4")
     small = not len(ids) or ids.max() < 1 << 16
-    return (b"\2" if small else b"\4") + zlib.compress(ids.astype("<u2").tobytes() if small else content, 1)
+    return (b"\2" if small else b"\4") + _COMPRESS.compress(ids.astype("<u2").tobytes() if small else content)
 
 
 def _decoded_chunk(stored: bytes) -> bytes:
-    raw = zlib.decompress(stored[1:])
+    raw = _DECOMPRESS.decompress(stored[1:])
     return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if stored[:1] == b"\2" else raw
 
 
+class PackReader:
+    """Range reads from packs; what was read lately is kept, as neighbouring chunks tend to be asked for next."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+        self.files: OrderedDict[str, tuple[pa.NativeFile, int]] = OrderedDict()
+        self.ranges: OrderedDict[tuple[str, int], bytes] = OrderedDict()
+
+    def _range(self, pack: str, number: int) -> bytes:
+        key = (pack, number)
+        if (got := self.ranges.get(key)) is None:
+            if pack not in self.files:
+                if len(self.files) >= KEPT_FILES:
+                    self.files.popitem(last=False)[1][0].close()
+                fs, path = _filesystem(f"{self.folder}/{pack}")
+                file = fs.open_input_file(path)
+                self.files[pack] = file, file.size()
+            file, size = self.files[pack]
+            got = file.read_at(min(RANGE, size - number * RANGE), number * RANGE)
+            if len(self.ranges) >= KEPT_RANGES:
+                self.ranges.popitem(last=False)
+            self.ranges[key] = got
+        return got
+
+    def read(self, pack: str, offset: int, length: int) -> bytes:
+        number, at = divmod(offset, RANGE)
+        got = self._range(pack, number)[at : at + length]
+        while len(got) < length:
+            number += 1
+            got += self._range(pack, number)[: length - len(got)]
+        return got
+
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
@@ -116,7 +153,6 @@ class PackWriter:
 
 
 _ENCODED = "doc_id long, part int, place long, n_tokens long, root binary, digests array<binary>, own array<struct<digest:binary,offset:long,length:int>>, pack string"
-_OWN = pa.list_(pa.struct([("digest", pa.binary()), ("offset", pa.int64()), ("length", pa.int32())]))
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Store:
@@ -136,11 +172,11 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> S
         encode, end = encoder(tokenizer_path).encode, np.array([end_id], "<u4").tobytes()
         part, place, writer, seen = TaskContext.get().partitionId(), 0, PackWriter(loose), set()
         for batch in batches:
-            n_tokens, roots, recipes, own = [], [], [], []
+            n_tokens, roots, recipes, news, offsets, lengths, own_ends = [], [], [], [], [], [], [0]
             for text in batch.column(1):
                 stream = encode(text.as_py()) + end
                 ends = cuts(np.frombuffer(stream, "<u4"))
-                recipe, new = [], []
+                recipe = []
                 for a, b in zip([0, *ends], ends):
                     content = stream[4 * a : 4 * b]
                     name = digest(content)
@@ -148,11 +184,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> S
                     if name not in seen:
                         seen.add(name)
                         stored = _encoded_chunk(content)
-                        new.append({"digest": name, "offset": writer.add(stored), "length": len(stored)})
-                n_tokens.append(len(stream) // 4), roots.append(merkle_root(recipe)), recipes.append(recipe), own.append(new)
+                        news.append(name), offsets.append(writer.add(stored)), lengths.append(len(stored))
+                n_tokens.append(len(stream) // 4), roots.append(merkle_root(recipe)), recipes.append(recipe), own_ends.append(len(news))
             n = batch.num_rows
+            new = pa.StructArray.from_arrays([pa.array(news, pa.binary()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int32())], ["digest", "offset", "length"])
+            own = pa.ListArray.from_arrays(pa.array(own_ends, pa.int32()), new)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(roots, pa.binary()), pa.array(recipes, pa.list_(pa.binary())), pa.array(own, _OWN), pa.array([writer.name] * n)],
+                [batch.column(0), pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(roots, pa.binary()), pa.array(recipes, pa.list_(pa.binary())), own, pa.array([writer.name] * n)],
                 ["doc_id", "part", "place", "n_tokens", "root", "digests", "own", "pack"],
             )
             place += n
@@ -187,43 +225,38 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> S
     return Store(path)
 
 
-def read_store(spark: SparkSession, store: Store) -> DataFrame:
+def read_store(spark: SparkSession, store: Store, crc_only: bool = False) -> DataFrame:
     """(doc_id, part, place, n_tokens, ids): every document rebuilt from its recipe; each chunk and root is verified.
 
-    A chunk whose content isn't that of its digest, or a recipe whose digests don't give its root, ends the job.
+    With crc_only ids_crc32 stands for ids, so that the rebuilt ids needn't leave the worker. A chunk whose content isn't that of its digest, or a recipe whose digests don't give its root, ends the job.
     """
     small_batches(spark)
     packs = f"{store.path}/packs"
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: OrderedDict[str, pa.NativeFile] = OrderedDict()
-        chunks: OrderedDict[bytes, bytes] = OrderedDict()
-
-        def content(pack: str, offset: int, length: int, name: bytes) -> bytes:
-            if (got := chunks.get(name)) is None:
-                if (file := files.get(pack)) is None:
-                    if len(files) >= KEPT_FILES:
-                        files.popitem(last=False)[1].close()
-                    fs, path = _filesystem(f"{packs}/{pack}")
-                    file = files[pack] = fs.open_input_file(path)
-                got = _decoded_chunk(file.read_at(length, offset))
-                if digest(got) != name:
-                    raise ValueError(f"chunk {name.hex()} in {pack} at {offset} is damaged")
-                if len(chunks) >= KEPT_CHUNKS:
-                    chunks.popitem(last=False)
-                chunks[name] = got
-            return got
-
+        source = PackReader(packs)
         for batch in batches:
-            cols, streams = batch.to_pydict(), []
-            for recipe, root, n in zip(cols["chunks"], cols["root"], cols["n_tokens"]):
-                if merkle_root([c["digest"] for c in recipe]) != root:
+            lists = batch.column(batch.schema.get_field_index("chunks"))
+            refs = lists.flatten()
+            pack, offset, length, names = (refs.field(k).to_pylist() for k in ("pack", "offset", "length", "digest"))
+            contents = []
+            for k, name in enumerate(names):
+                content = _decoded_chunk(source.read(pack[k], offset[k], length[k]))
+                if digest(content) != name:
+                    raise ValueError(f"chunk {name.hex()} in {pack[k]} at {offset[k]} is damaged")
+                contents.append(content)
+            streams, ends = [], np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
+            for a, b, root in zip(ends, ends[1:], batch.column(batch.schema.get_field_index("root")).to_pylist()):
+                if merkle_root(names[a:b]) != root:
                     raise ValueError("a recipe doesn't give its Merkle root")
-                streams.append(b"".join([content(c["pack"], c["offset"], c["length"], c["digest"]) for c in recipe]))
+                streams.append(b"".join(contents[a:b]))
             counts = pa.array([len(s) // 4 for s in streams], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cols["doc_id"], pa.int64()), pa.array(cols["part"], pa.int32()), pa.array(cols["place"], pa.int64()), counts, pa.array(streams, pa.binary())], ["doc_id", "part", "place", "n_tokens", "ids"])
+            keys = [batch.column(batch.schema.get_field_index(k)) for k in ("doc_id", "part", "place")]
+            last = pa.array([zlib.crc32(s) for s in streams], pa.int64()) if crc_only else pa.array(streams, pa.binary())
+            yield pa.RecordBatch.from_arrays([*keys, counts, last], ["doc_id", "part", "place", "n_tokens", name_of_last])
 
-    return spark.read.parquet(f"{store.path}/recipes").mapInArrow(rebuilt, "doc_id long, part int, place long, n_tokens long, ids binary")
+    name_of_last = "ids_crc32" if crc_only else "ids"
+    return spark.read.parquet(f"{store.path}/recipes").mapInArrow(rebuilt, f"doc_id long, part int, place long, n_tokens long, {name_of_last} {'long' if crc_only else 'binary'}")
 
 
 def with_starts(read: DataFrame) -> DataFrame:
@@ -249,5 +282,4 @@ def with_starts(read: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Writes docs to a store and reports each document as read back: doc_id, start, n_tokens, ids_crc32."""
     store = write_store(docs, tokenizer_path)
-    read = read_store(docs.sparkSession, store).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return with_starts(staged(read)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(staged(read_store(docs.sparkSession, store, crc_only=True))).select("doc_id", "start", "n_tokens", "ids_crc32")

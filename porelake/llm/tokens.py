@@ -16,8 +16,8 @@ CACHE_WORDS = 1_000_000
 
 #: White space that Python and the tokenizers may see differently, or that isn't ASCII.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
-#: Runs of white space in which a blank isn't the last character, or follows another.
-_KNOTTED = re.compile(r" [ \t-\r]")
+#: White space next to white space, or other than blanks and line ends.
+_KNOTTED = re.compile(r"[ \t-\r][ \t-\r]|[\t\v\f\r]")
 _SPACED = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 _ENDS = ".,;:!?"
 
@@ -35,7 +35,8 @@ def _byte_letters() -> list[str]:
     return out
 
 
-_LETTERS = _byte_letters()
+#: From UTF-8 bytes, read as Latin-1, to their stand-ins.
+_LETTERS = dict(enumerate(_byte_letters()))
 
 
 class _Cache(dict):
@@ -75,25 +76,41 @@ class Encoder:
         self.spaced = (made.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         self.lead = _LETTERS[0x20] if self.spaced else ""
         self.blank = " " if self.spaced else ""
+        self.ends = {mark: self.whole(mark) for mark in _ENDS}
+        self.line_end = self.whole("\n") if self.spaced else b""
         self.cache = _Cache(self._word)
         self.unspaced = _Cache(self.whole)
 
     def whole(self, text: str) -> bytes:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _stem(self, lead: str, stem: str) -> bytes:
+        if self.lower:
+            stem = stem.lower()
+        return _pack([t.id for t in self.tokenize(lead + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(_LETTERS)))])
+
     def _word(self, word: str) -> bytes:
-        """A word's ids, after a blank if blanks are part of tokens. Latin-1 letters alone, or with an end mark, are one or two pre-tokens."""
-        stem, end = (word[:-1], word[-1:]) if word[-1:] in _ENDS else (word, "")
-        if stem.isalpha() and max(stem) < "Ā":
-            if self.lower:
-                stem = stem.lower()
-            tokenize = self.tokenize
-            ids = [t.id for t in tokenize(self.lead + "".join([_LETTERS[b] for b in stem.encode()]))]
-            if end:
-                ids += [t.id for t in tokenize(end)]
-            return _pack(ids)
+        """A word's ids, after a blank if blanks are part of tokens, or after the line end that it begins with.
+
+        Latin-1 letters alone are one pre-token, with an end mark two; all else goes to the tokenizer.
+        """
+        if word[:1] == "\n":
+            return self.line_end + self._start(word[1:])
+        end = word[-1:]
+        if end in self.ends:
+            stem = word[:-1]
+            if stem.isalpha() and (stem.isascii() or max(stem) < "Ā"):
+                return (self.cache.get(stem) or self._stem(self.lead, stem)) + self.ends[end]
+        elif word.isalpha() and (word.isascii() or max(word) < "Ā"):
+            return self._stem(self.lead, word)
         return self.whole(self.blank + word)
 
+    def _start(self, word: str) -> bytes:
+        """The ids of a word without a blank before it."""
+        if word.isalpha() and (word.isascii() or max(word) < "Ā"):
+            return self._stem("", word)
+        return self.whole(word)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -101,13 +118,10 @@ class Encoder:
             return self.whole(text)
         if not self.spaced:
             return b"".join(map(self.cache.__getitem__, text.split()))
-        if _KNOTTED.search(text) or text[0] == " ":
+        if _KNOTTED.search(text) or text[0] == " " or text[-1] == " ":
             return b"".join(map(self.unspaced.__getitem__, _SPACED.findall(text)))
-        first, *rest = text.split(" ")
-        if rest and not rest[-1]:
-            rest[-1:] = []
-            return b"".join([self.unspaced[first], *map(self.cache.__getitem__, rest), self.unspaced[" "]])
-        return b"".join([self.unspaced[first], *map(self.cache.__getitem__, rest)])
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self._start(first) + b"".join(map(self.cache.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}
