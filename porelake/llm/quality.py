@@ -83,15 +83,16 @@ def removed_words(found: DataFrame, line_docs: int = LINE_DOCS, own_share: float
     """measured() -> (host, text_hash, n_removed_words) for the documents that lose lines.
 
     Documents are told apart by content, so exact copies count once. Lines are made distinct by document before they
-    are counted, and counted partially before the shuffle: a line of very many documents makes no large task.
+    are counted, and counted partially before the shuffle: a line of very many documents makes no large task. What is
+    joined is written first, so that each side of a join is a plain shuffle, whose hot keys AQE splits.
     """
     lines = found.select("host", "text_hash", "n_words", F.explode("lines").alias("l")).select("host", "text_hash", "n_words", "l.line", "l.words")
     lines = lines.groupBy("host", "line", "text_hash").agg(F.max("words").alias("words"), F.max("n_words").alias("n_words"))
-    often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs).select("host", "line")
+    often = staged(lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs).select("host", "line"))
     shared = staged(lines.join(often, ["host", "line"]))
     owners = shared.groupBy("host", "text_hash").agg(F.sum("words").alias("shared"), F.max("n_words").alias("n_words")).where((F.col("n_words") - F.col("shared")) >= own_share * F.col("n_words"))
-    boilerplate = shared.join(owners.select("host", "text_hash"), ["host", "text_hash"], "left_semi").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs).select("host", "line")
-    return shared.join(boilerplate, ["host", "line"], "left_semi").groupBy("host", "text_hash").agg(F.sum("words").alias("n_removed_words"))
+    boilerplate = staged(shared.join(owners.select("host", "text_hash"), ["host", "text_hash"], "left_semi").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs).select("host", "line"))
+    return staged(shared.join(boilerplate, ["host", "line"], "left_semi").groupBy("host", "text_hash").agg(F.sum("words").alias("n_removed_words")))
 
 
 def judged(docs: DataFrame, line_docs: int = LINE_DOCS, own_share: float = OWN_SHARE, least_kept: float = LEAST_KEPT) -> DataFrame:
