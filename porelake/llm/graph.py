@@ -64,16 +64,17 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) -> (vertex, root): root is the smallest vertex that a vertex is connected with.
 
     Vertices that are their own root have no row. Self-loops and repeated edges are allowed; no edges give no rows.
-    Each round aggregates before it joins, so a hub's edges never meet in one task but for a skewed join, which AQE splits;
-    each round is written to the shared folder.
+    Each round aggregates before it joins and writes both sides of a join first, so a hub's edges meet in a join of plain
+    shuffles only, whose hot keys AQE splits.
     """
     edges = staged(edges.where("a != b").mapInArrow(_contract, "a long, b long").distinct())
     before = _mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        low = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = staged(large)
+        low = staged(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
         edges = staged(small)
         after = _mark(edges)

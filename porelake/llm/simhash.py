@@ -197,7 +197,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
     labelled = nodes.join(roots, nodes.fp == roots.vertex, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = labelled.join(roots.select("root").distinct(), "root", "left_semi")
     smallest = linked.groupBy("root").agg(F.min("first").alias("of_all"))
-    named = labelled.join(smallest, "root", "left").select("fp", F.coalesce("of_all", "first").alias("first"))
+    named = staged(labelled.join(smallest, "root", "left").select("fp", F.coalesce("of_all", "first").alias("first")))
     return fps.join(named, "fp")
 
 
