@@ -73,5 +73,19 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[st
         yield held
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes; a single larger batch stays whole."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def table(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from porelake.llm.common import small_batches, staged
-from porelake.llm.tokens import encoder
+from porelake.llm.common import gathered, small_batches, staged
+from porelake.llm.tokens import BATCH_CHARS, encoder
 
 CAPACITY, END_ID = 2048, 0
 #: Rules over which a broadcast is not asked for; they number about twice the capacity.
@@ -36,9 +36,10 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path).encode, np.array([end_id], "<u4").tobytes()
+        tokens = encoder(tokenizer_path)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in gathered(batches, BATCH_CHARS):
+            flat, edges = tokens.encode_batch(batch.column(1), end_id)
             ids_of, doc, piece, start, length, ids, place = batch.column(0).to_pylist(), [], [], [], [], [], []
 
             def out() -> pa.RecordBatch:
@@ -51,8 +52,8 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                     column.clear()
                 return got
 
-            for doc_id, text in zip(ids_of, batch.column(1)):
-                stream = encode(text.as_py()) + end
+            for doc_id, a, b in zip(ids_of, edges[:-1].tolist(), edges[1:].tolist()):
+                stream = flat[a:b].tobytes()
                 for k, at in enumerate(range(0, len(stream), 4 * capacity)):
                     own = stream[at : at + 4 * capacity]
                     n = len(own) // 4

@@ -21,14 +21,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from porelake.llm.common import remove, shared_dir, small_batches, staged
-from porelake.llm.tokens import encoder
+from porelake.llm.common import gathered, remove, shared_dir, small_batches, staged
+from porelake.llm.tokens import BATCH_CHARS, encoder
 
 END_ID = 2
 MAGIC = b"PLCHUNK1"
 DIGEST = 16
 #: Ids that the rolling hash sees; a cut falls where its top CUT_BITS bits are zero, between LEAST and MOST ids apart.
-REACH, CUT_BITS, LEAST, MOST = 16, 8, 64, 2048
+REACH, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
+#: Ids that are hashed at once.
+BLOCK = 1 << 15
 #: A reading worker reads ranges of so many bytes and remembers so many of them, and so many open packs.
 RANGE, KEPT_RANGES, KEPT_FILES = 1 << 18, 64, 32
 
@@ -46,16 +48,25 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of an id stream's chunks. Where they fall depends on the ids nearby only, so equal passages share chunks."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    mixed = _mixed(ids)
-    rolled = mixed.copy()
-    for j in range(1, min(REACH, n)):
-        rolled[j:] += mixed[:-j] << np.uint64(4 * j % 61)
-    ends = (np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist()
+def rolling_ends(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the rolling hash over the last REACH ids has its top bits zero; worked out a block at a time."""
+    out = []
+    for at in range(0, len(ids), BLOCK):
+        start = max(0, at - REACH)
+        mixed = _mixed(ids[start : at + BLOCK])
+        rolled = mixed.copy()
+        for j in range(1, min(REACH, len(mixed))):
+            rolled[j:] += mixed[:-j] << np.uint64(4 * j % 61)
+        found = np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + 1 + start
+        out.append(found[found > at])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def cuts(n: int, ends: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids whose rolling hash offers `ends`, ascending. Equal passages share chunks.
+
+    A stream's first REACH ids may be hashed with what comes before it: no chunk is that short.
+    """
     out, last = [], 0
     for end in [*ends, n]:
         while end - last > MOST:
@@ -169,13 +180,17 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> S
     loose = f"{path}/loose"
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path).encode, np.array([end_id], "<u4").tobytes()
+        tokens = encoder(tokenizer_path)
         part, place, writer, seen = TaskContext.get().partitionId(), 0, PackWriter(loose), set()
-        for batch in batches:
+        for batch in gathered(batches, BATCH_CHARS):
             n_tokens, roots, recipes, news, offsets, lengths, own_ends = [], [], [], [], [], [], [0]
-            for text in batch.column(1):
-                stream = encode(text.as_py()) + end
-                ends = cuts(np.frombuffer(stream, "<u4"))
+            flat, edges = tokens.encode_batch(batch.column(1), end_id)
+            offered = rolling_ends(flat)
+            spans = np.searchsorted(offered, edges, "right").tolist()
+            edges = edges.tolist()
+            for k, (first, stop) in enumerate(zip(edges, edges[1:])):
+                stream = flat[first:stop].tobytes()
+                ends = cuts(stop - first, (offered[spans[k] : spans[k + 1]] - first).tolist())
                 recipe = []
                 for a, b in zip([0, *ends], ends):
                     content = stream[4 * a : 4 * b]

@@ -11,8 +11,14 @@ import array
 import re
 import sys
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Words a worker remembers; it starts anew beyond them.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
+#: Characters of texts that encode_batch() takes at once.
+BATCH_CHARS = 16 << 20
 
 #: White space that Python and the tokenizers may see differently, or that isn't ASCII.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
@@ -20,6 +26,9 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 _KNOTTED = re.compile(r"[ \t-\r][ \t-\r]|[\t\v\f\r]")
 _SPACED = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 _ENDS = ".,;:!?"
+#: The same two for Arrow's regular expressions; a text that begins or ends with a blank is knotted too.
+_ODD_RE2 = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
+_KNOTTED_RE2 = r"[ \t\n\v\f\r][ \t\n\v\f\r]|[\t\v\f\r]|^ | $"
 
 
 def _byte_letters() -> list[str]:
@@ -124,6 +133,69 @@ class Encoder:
         return self._start(first) + b"".join(map(self.cache.__getitem__, rest))
 
 
+    def encode_batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, end_id behind each, and the n + 1 places where they begin and end.
+
+        Words are split and made distinct by Arrow, so each distinct word of a batch is looked up once; null is empty.
+        """
+        parts, sizes = [], []
+        for at, n in _slices(texts):
+            ids, size = self._some(texts.slice(at, n), end_id)
+            parts.append(ids), sizes.append(size)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return ids, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+
+    def _some(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD_RE2 + ("|" + _KNOTTED_RE2 if self.spaced else "")).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts)
+        if self.spaced:
+            lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        else:
+            lists = pc.ascii_split_whitespace(plain)
+        begins = lists.offsets.to_numpy().astype(np.int64)
+        begins = begins - begins[0]
+        coded = lists.flatten().dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary.to_pylist()
+        found = [self.cache[w] if w else b"" for w in words]
+        if self.spaced:
+            # the first word of a text has no blank before it
+            first = begins[:-1]
+            starts = [self._start(words[k]) if words[k] else b"" for k in index[first].tolist()]
+            index[first] = np.arange(len(found), len(found) + len(first))
+            found += starts
+        slow = np.flatnonzero(odd).tolist()
+        last = np.arange(len(found), len(found) + len(texts))  # what ends each text: its ids if it is odd, and end_id
+        end = np.array([end_id], "<u4").tobytes()
+        ends = [end] * len(texts)
+        for i, text in zip(slow, texts.take(pa.array(slow, pa.int64())).to_pylist()):
+            ends[i] = self.encode(text) + end
+        found += ends
+        index = np.insert(index, begins[1:], last)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = lengths[index]
+        place = np.cumsum(size) - size
+        total = int(size.sum())
+        ids = flat[np.repeat((np.cumsum(lengths) - lengths)[index] - place, size) + np.arange(total)]
+        stops = begins[1:] + np.arange(1, len(texts) + 1)
+        edges = np.concatenate([place, [total]])[np.concatenate([[0], stops])]
+        return ids, np.diff(edges)
+
+
+def _slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """Runs of texts of about BATCH_CHARS bytes: at, number."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    out, at, held = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > BATCH_CHARS:
+            out.append((at, i - at))
+            at, held = i, 0
+        held += n
+    return [*out, (at, len(sizes) - at)] if len(sizes) > at else out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
