@@ -2,8 +2,8 @@
 
 Units are a document's lines and its paragraphs of several lines (blank lines part them). A template is a candidate for a
 unit whose number of bigrams lies within the bounds that the threshold sets. A match shares at least t/(2-t) of the
-template's distinct bigrams, so any match holds one of the few that are left out of that share: units are joined with
-those anchors first, and only the pairs that come up are compared in full.
+template's distinct bigrams, so any match holds one of the few that are left out of that share: only units that hold such
+an anchor (and before that, the longer word of one) are joined with the templates of their anchors within the size bounds.
 """
 
 from __future__ import annotations
@@ -44,11 +44,9 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def bigrams_of(text: str) -> list[str]:
-    words = re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
+    words = re.findall("[a-z0-9]+", text.lower())
     return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
@@ -72,29 +70,38 @@ def _template_rows(templates, threshold: float) -> list[tuple]:
     return rows
 
 
+def anchor_words(found: list[str]) -> list[str]:
+    """The longer word of each anchor."""
+    return sorted({max(b.split(" "), key=len) for b in found})
+
+
 def units(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, kind, unit, words): normalised words of each line and each paragraph of several lines."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-    words = lambda c: F.split(F.trim(F.regexp_replace(F.translate(c, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
-    lines = rows.select("doc_id", "text_hash", F.lit("line").alias("kind"), F.posexplode(F.split("text", "\n")).alias("unit", "t"))
-    blocks = rows.select("doc_id", "text_hash", F.lit("paragraph").alias("kind"), F.posexplode(F.split("text", "\n[ \t\r]*\n")).alias("unit", "t")).where(F.instr("t", "\n") > 0)
-    return lines.unionByName(blocks).select("doc_id", "text_hash", "kind", "unit", words(F.col("t")).alias("words"))
+    lower = rows.withColumn("text", F.lower("text"))
+    lines = lower.select("doc_id", "text_hash", F.lit("line").alias("kind"), F.posexplode(F.split("text", "\n")).alias("unit", "t"))
+    blocks = lower.select("doc_id", "text_hash", F.lit("paragraph").alias("kind"), F.posexplode(F.split("text", "\n[ \t\r]*\n")).alias("unit", "t")).where(F.instr("t", "\n") > 0)
+    return lines.unionByName(blocks).select("doc_id", "text_hash", "kind", "unit", F.split(F.trim(F.regexp_replace("t", "[^a-z0-9]+", " ")), " ").alias("words"))
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, kind, unit, template, spdx, score): the units that a template matches, repeated rows once.
 
-    The templates are a fixed table of a few rows, so they and their anchors are broadcast.
+    The templates are a fixed table of a few rows: their anchors are literals, and they are broadcast.
     """
     spark: SparkSession = docs.sparkSession
     rows = _template_rows(templates, threshold)
     least, most = min(r[3] for r in rows), max(r[4] for r in rows)
-    table = spark.createDataFrame([r[:5] for r in rows], "template int, spdx string, bigrams array<string>, low int, high int")
-    starts = spark.createDataFrame([(a, r[0]) for r in rows for a in r[5]], "bigram string, template int")
+    table = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4]) for r in rows], "template int, spdx string, bigrams array<string>, low int, high int")
+    starts = sorted({a for r in rows for a in r[5]})
+    by_anchor = spark.createDataFrame([(a, r[0]) for r in rows for a in r[5]], "bigram string, template int")
+    listed = lambda words: F.array(*map(F.lit, words))  # noqa: E731  constant, folded once
     n = F.size("words") - 1
+    sized = units(docs).where(n.between(max(1, least), most) & F.arrays_overlap("words", listed(anchor_words(starts))))
     pairs: Column = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1)))
-    sized = units(docs).where(n.between(max(1, least), most)).select("doc_id", "text_hash", "kind", "unit", n.alias("n"), F.array_distinct(pairs).alias("own"))
-    met = sized.select("*", F.explode("own").alias("bigram")).join(F.broadcast(starts), "bigram").join(F.broadcast(table), "template").where(F.col("n").between(F.col("low"), F.col("high")))
+    near = sized.select("doc_id", "text_hash", "kind", "unit", n.alias("n"), F.array_distinct(pairs).alias("own")).where(F.arrays_overlap("own", listed(starts)))
+    begun = near.withColumn("bigram", F.explode(F.array_intersect("own", listed(starts))))
+    met = begun.join(F.broadcast(by_anchor), "bigram").join(F.broadcast(table), "template").where(F.col("n").between(F.col("low"), F.col("high")))
     score = F.lit(2.0) * F.size(F.array_intersect("own", "bigrams")) / (F.size("own") + F.size("bigrams"))
     return met.withColumn("score", score).where(F.col("score") >= threshold).select("doc_id", "text_hash", "kind", "unit", "template", "spdx", "score").distinct()
 
@@ -116,7 +123,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 def oracle_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
     """DuckDB: every unit within a template's bounds against that template, without anchors."""
     values = ",\n".join(f"({number}, '{spdx}', {own}, {low}, {high})".replace("[", "[") for number, spdx, own, low, high, _ in _template_rows(templates, threshold))
-    words = f"regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '[a-z0-9]+')"
+    words = "regexp_extract_all(lower(t), '[a-z0-9]+')"
     return f"""
 WITH tpl(template, spdx, bigrams, low, high) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
