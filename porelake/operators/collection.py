@@ -84,14 +84,16 @@ def filter_collection(collection: DataFrame, using: dict, analyse: Callable[[Dat
 
 def validation_level(collection: DataFrame, cif: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
     """(checksum, level, valid): 0 if cached properties have all keys, 1 with those of the file, 2 with those of the analysis; unreadable files count as valid."""
-    has = lambda p: reduce(lambda a, b: a & b, (F.coalesce(*(F.col(f"{q}.{k}") for q in p)).isNotNull() for k in keys))
-    missing = lambda df: df.select("checksum", *((F.col(k) if k in df.columns else F.lit(None).cast("string")).alias(k) for k in keys))
-    c, f, s = missing(collection).alias("c"), missing(cif.withColumn("checksum", F.col("checksum"))).alias("f"), missing(sites).alias("s")
-    okay = cif.select("checksum", F.col("cif_okay").alias("_okay"))
-    rows = c.join(f, F.col("c.checksum") == F.col("f.checksum"), "left").join(s, F.col("c.checksum") == F.col("s.checksum"), "left").join(okay, F.col("c.checksum") == okay["checksum"], "left")
-    level = F.when(has(("c",)), 0).when(has(("c", "f")) | ~F.coalesce("_okay", F.lit(True)), 1).otherwise(2)
-    valid = has(("c", "f", "s")) | ~F.coalesce("_okay", F.lit(True))
-    return rows.select(F.col("c.checksum").alias("checksum"), level.alias("level"), valid.alias("valid"))
+    side = lambda df, p: df.select(F.col("checksum").alias(f"{p}checksum"), *((F.col(k) if k in df.columns else F.lit(None)).alias(f"{p}{k}") for k in keys))
+    c, f, s = side(collection, "c_"), side(cif, "f_"), side(sites, "s_")
+    okay = cif.select(F.col("checksum").alias("o_checksum"), F.col("cif_okay").alias("okay"))
+    rows = c
+    for other, p in ((f, "f_"), (s, "s_"), (okay, "o_")):
+        rows = rows.join(other, F.col("c_checksum") == F.col(f"{p}checksum"), "left")
+    has = lambda *ps: reduce(lambda a, b: a & b, (F.coalesce(*(F.col(f"{p}{k}") for p in ps)).isNotNull() for k in keys))
+    unreadable = ~F.coalesce("okay", F.lit(True))
+    level = F.when(has("c_"), 0).when(has("c_", "f_") | unreadable, 1).otherwise(2)
+    return rows.select(F.col("c_checksum").alias("checksum"), level.alias("level"), (has("c_", "f_", "s_") | unreadable).alias("valid"))
 
 
 def sample(collection: DataFrame, size: int = 50, seed: int = 0) -> DataFrame:

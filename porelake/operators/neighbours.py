@@ -7,6 +7,8 @@ the number of atoms.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,28 +25,41 @@ def with_lattice(atoms: DataFrame, structures: DataFrame) -> DataFrame:
     return atoms.join(structures.select("structure_id", "lattice"), "structure_id")
 
 
-def min_image_distance(dx: Column, dy: Column, dz: Column, lattice: Column, images: int = 1) -> Column:
-    """Length of the shortest image of a fractional difference: rounded, then the least over 27 images (1 of images=0: orthogonal cells)."""
-    cell = lambda i, j: lattice[i][j]
-    dx, dy, dz = wrapped(dx), wrapped(dy), wrapped(dz)
+_CELL = [f"l{i}{k}" for i in range(3) for k in range(3)]
+
+
+def lattice_columns() -> list[Column]:
+    """The lattice's entries as scalar columns, so that the images below are plain arithmetic."""
+    return [F.col("lattice")[i][k].alias(f"l{i}{k}") for i in range(3) for k in range(3)]
+
+
+def with_min_image(joined: DataFrame, images: int = 1) -> DataFrame:
+    """Adds dist from (x1, y1, z1), (x2, y2, z2) and the lattice's columns: differences rounded to the nearest image, then the least over 27 images.
+
+    images=0 takes the rounded difference alone, which is exact in orthogonal cells.
+    """
+    rows = joined.withColumns({f"d{k}": wrapped(F.col(f"{k}2") - F.col(f"{k}1")) for k in "xyz"})
+    rows = rows.withColumns({f"v{k}": F.col("dx") * F.col(f"l0{k}") + F.col("dy") * F.col(f"l1{k}") + F.col("dz") * F.col(f"l2{k}") for k in range(3)})
 
-    def length(a: Column, b: Column, c: Column) -> Column:
-        parts = [a * cell(0, k) + b * cell(1, k) + c * cell(2, k) for k in range(3)]
+    def squared(v, shift: list[Column] | None = None) -> Column:
+        parts = [v[f"v{k}"] if shift is None else v[f"v{k}"] + shift[0] * v[f"l0{k}"] + shift[1] * v[f"l1{k}"] + shift[2] * v[f"l2{k}"] for k in range(3)]
         return parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2]
 
     if not images:
-        return F.sqrt(length(dx, dy, dz))
-    return F.sqrt(F.least(*(length(dx + i, dy + j, dz + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
+        return rows.withColumn("dist", F.sqrt(squared({f"v{k}": F.col(f"v{k}") for k in range(3)})))
+    # one lambda over the images: 27 copies of the formula, pushed into a join's condition, would be too much code for one method
+    shifts = F.array(*(F.array(*(F.lit(float(n)) for n in s)) for s in itertools.product((-1, 0, 1), repeat=3)))
+    given = F.array(F.struct(*(f"v{k}" for k in range(3)), *_CELL))
+    least = F.transform(given, lambda v: F.array_min(F.transform(shifts, lambda s: squared(v, [s[0], s[1], s[2]]))))
+    return rows.withColumn("dist", F.sqrt(least[0]))
 
 
 def pairs(atoms: DataFrame, images: int = 1, both: bool = False) -> DataFrame:
     """atoms (structure_id, atom_idx, element, fx, fy, fz, lattice) -> (structure_id, i, j, element_i, element_j, dist), i < j or both ways."""
-    a = atoms.select("structure_id", F.col("atom_idx").alias("i"), F.col("element").alias("element_i"), F.col("fx").alias("x1"), F.col("fy").alias("y1"), F.col("fz").alias("z1"), "lattice")
+    a = atoms.select("structure_id", F.col("atom_idx").alias("i"), F.col("element").alias("element_i"), F.col("fx").alias("x1"), F.col("fy").alias("y1"), F.col("fz").alias("z1"), *lattice_columns())
     b = atoms.select("structure_id", F.col("atom_idx").alias("j"), F.col("element").alias("element_j"), F.col("fx").alias("x2"), F.col("fy").alias("y2"), F.col("fz").alias("z2"))
     order = F.col("i") != F.col("j") if both else F.col("i") < F.col("j")
-    joined = a.join(b, "structure_id").where(order)
-    dist = min_image_distance(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("z2") - F.col("z1"), F.col("lattice"), images)
-    return joined.select("structure_id", "i", "j", "element_i", "element_j", dist.alias("dist"))
+    return with_min_image(a.join(b, "structure_id").where(order), images).select("structure_id", "i", "j", "element_i", "element_j", "dist")
 
 
 def _radii(elements: DataFrame, radius: str, side: str) -> DataFrame:
@@ -80,21 +95,20 @@ def cell_list_pairs(atoms: DataFrame, cutoff: float) -> DataFrame:
     Bins per axis: the cell's height over the cutoff, rounded down, at least one. The right side's atoms go to the distinct
     ones of their 27 wrapped neighbour bins, so fewer than three bins on an axis give no repeats.
     """
-    l = F.col("lattice")  # noqa: E741
+    atoms = atoms.select("structure_id", "atom_idx", "element", "fx", "fy", "fz", *lattice_columns())
     cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-    row = lambda i: [l[i][k] for k in range(3)]
+    row = lambda i: [F.col(f"l{i}{k}") for k in range(3)]
     faces = [cross(row(1), row(2)), cross(row(2), row(0)), cross(row(0), row(1))]
     volume = F.abs(sum((row(0)[k] * faces[0][k] for k in range(1, 3)), row(0)[0] * faces[0][0]))
     bins = [F.greatest(F.lit(1), F.floor(volume / F.sqrt(f[0] * f[0] + f[1] * f[1] + f[2] * f[2]) / cutoff)).cast("int") for f in faces]
     place = lambda f, n: F.least(F.floor((f - F.floor(f)) * n).cast("int"), n - 1)
     binned = atoms.select("*", *(b.alias(f"n{k}") for k, b in zip("xyz", bins))).select("*", *(place(F.col(f"f{k}"), F.col(f"n{k}")).alias(f"b{k}") for k in "xyz"))
-    left = binned.select("structure_id", "bx", "by", "bz", F.col("atom_idx").alias("i"), F.col("element").alias("element_i"), F.col("fx").alias("x1"), F.col("fy").alias("y1"), F.col("fz").alias("z1"), "lattice")
+    left = binned.select("structure_id", "bx", "by", "bz", F.col("atom_idx").alias("i"), F.col("element").alias("element_i"), F.col("fx").alias("x1"), F.col("fy").alias("y1"), F.col("fz").alias("z1"), *_CELL)
     near = lambda k: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col(f"b{k}") + d, F.col(f"n{k}"))))
     spread = binned.select("structure_id", F.col("atom_idx").alias("j"), F.col("element").alias("element_j"), F.col("fx").alias("x2"), F.col("fy").alias("y2"), F.col("fz").alias("z2"), F.explode(near("x")).alias("bx"), "by", "bz", "ny", "nz")
     spread = spread.withColumn("by", F.explode(near("y"))).withColumn("bz", F.explode(near("z"))).drop("ny", "nz")
     joined = left.join(spread, ["structure_id", "bx", "by", "bz"]).where("i < j")
-    dist = min_image_distance(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("z2") - F.col("z1"), F.col("lattice"))
-    return joined.select("structure_id", "i", "j", "element_i", "element_j", dist.alias("dist")).where(F.col("dist") < cutoff)
+    return with_min_image(joined).select("structure_id", "i", "j", "element_i", "element_j", "dist").where(F.col("dist") < cutoff)
 
 
 def bond_order_check(found: DataFrame, atoms: DataFrame, elements: DataFrame) -> DataFrame:
