@@ -59,7 +59,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                     n = len(own) // 4
                     doc.append(doc_id), piece.append(k), start.append(at // 4), length.append(n), ids.append(own), place.append(int(seen[n]))
                     seen[n] += 1
-                if len(doc) >= 4096:
+                if len(doc) >= 1024:
                     yield out()
             yield out()
 

@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker remembers; it starts anew beyond them.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 #: Characters of texts that encode_batch() takes at once.
-BATCH_CHARS = 16 << 20
+BATCH_CHARS = 8 << 20
 
 #: White space that Python and the tokenizers may see differently, or that isn't ASCII.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
@@ -178,7 +178,10 @@ class Encoder:
         size = lengths[index]
         place = np.cumsum(size) - size
         total = int(size.sum())
-        ids = flat[np.repeat((np.cumsum(lengths) - lengths)[index] - place, size) + np.arange(total)]
+        kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        source = np.repeat(((np.cumsum(lengths) - lengths)[index] - place).astype(kind), size)
+        source += np.arange(total, dtype=kind)
+        ids = flat[source]
         stops = begins[1:] + np.arange(1, len(texts) + 1)
         edges = np.concatenate([place, [total]])[np.concatenate([[0], stops])]
         return ids, np.diff(edges)
