@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker remembers; it starts anew beyond them.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 #: Characters of texts that encode_batch() takes at once.
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 4 << 20
 
 #: White space that Python and the tokenizers may see differently, or that isn't ASCII.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
