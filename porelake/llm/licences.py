@@ -109,10 +109,13 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_matches, licences, best, score): one row for each row of docs.
 
-    n_matches counts matching units and templates, licences are the distinct SPDX identifiers, sorted and comma-joined, best
-    the one of the highest score (then the first by name). Null, empty and other texts without a match: 0, '', null, 0.0.
+    A unit counts for its best template (then the first by name). n_matches counts matching units, licences are the distinct
+    SPDX identifiers, sorted and comma-joined, best the one of the highest score (then the first by name). Null, empty and
+    other texts without a match: 0, '', null, 0.0.
     """
-    found = matches(docs, templates, threshold)
+    rank = F.struct(-F.col("score"), F.col("spdx"), F.col("template"))
+    units_of = matches(docs, templates, threshold).groupBy("doc_id", "text_hash", "kind", "unit")
+    found = units_of.agg(F.min_by(F.struct("spdx", "score"), rank).alias("m")).select("doc_id", "text_hash", "m.spdx", "m.score")
     best = F.min_by("spdx", F.struct(-F.col("score"), F.col("spdx")))
     by_doc = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("spdx")), ",").alias("names"), best.alias("top"), F.max("score").alias("high"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
@@ -131,7 +134,8 @@ u AS (SELECT r, 'line' AS kind, unnest(string_split(text, chr(10))) AS t, genera
     UNION ALL SELECT * FROM (SELECT r, 'paragraph' AS kind, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS t, generate_subscripts(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), 1) AS unit FROM d) WHERE contains(t, chr(10))),
 w AS (SELECT r, kind, unit, {words} AS w FROM u),
 b AS (SELECT r, kind, unit, len(w) - 1 AS n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own FROM w WHERE len(w) > 1),
-m AS (SELECT r, kind, unit, template, spdx, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS score FROM b JOIN tpl ON n BETWEEN low AND high),
+a AS (SELECT r, kind, unit, template, spdx, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS score FROM b JOIN tpl ON n BETWEEN low AND high),
+m AS (SELECT r, spdx, score FROM (SELECT *, row_number() OVER (PARTITION BY r, kind, unit ORDER BY score DESC, spdx, template) AS k FROM a) WHERE k = 1),
 g AS (SELECT r, count(*) AS n, string_agg(DISTINCT spdx, ',' ORDER BY spdx) AS names, max(score) AS high FROM m WHERE score >= {threshold} GROUP BY r),
 t AS (SELECT m.r, min(m.spdx) AS top FROM m JOIN g ON m.r = g.r AND m.score = g.high GROUP BY m.r)
 SELECT d.doc_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_matches, coalesce(g.names, '') AS licences, t.top AS best, round(coalesce(g.high, 0.0::DOUBLE), 6) AS score
