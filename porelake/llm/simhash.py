@@ -193,7 +193,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
     fps = staged(fingerprints(docs, id_col, text_col, shingle))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = staged(fps.groupBy("fp").agg(F.min(row).alias("first")))
-    roots = components(links(nodes.select("fp"), radius, spare, tree_size))
+    # written before the components' own Python stage: two of them in one task would keep twice the workers on an executor
+    roots = components(staged(links(nodes.select("fp"), radius, spare, tree_size)))
     labelled = nodes.join(roots, nodes.fp == roots.vertex, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = labelled.join(roots.select("root").distinct(), "root", "left_semi")
     smallest = linked.groupBy("root").agg(F.min("first").alias("of_all"))
