@@ -130,10 +130,10 @@ def batches(collection: DataFrame, num_batches: int, key: str = "name", limit: i
     rows = collection.withColumn("cost", cost)
     by_cost = rows.groupBy("cost").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("cost").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_cost.select("cost", F.coalesce(F.sum(F.col("cost") * F.col("n")).over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_n"))
-    totals = by_cost.agg(F.sum(F.col("cost") * F.col("n")).alias("total"))
+    all_costs = F.sum(F.col("cost") * F.col("n"))
+    bases = by_cost.select("cost", F.coalesce(all_costs.over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_n"), all_costs.over(Window.partitionBy()).alias("total"))
     place = F.row_number().over(Window.partitionBy("cost").orderBy(key)) - 1
-    out = rows.join(bases, "cost").crossJoin(F.broadcast(totals)).withColumn("place", place)  # one row of totals
+    out = rows.join(bases, "cost").withColumn("place", place)
     if limit is not None:
         out = out.where(F.col("base_n") + F.col("place") < limit)
     before_cost = F.col("base") + F.col("place") * F.col("cost")
@@ -173,15 +173,11 @@ def upsert_properties(stored: DataFrame, fresh: DataFrame, key: str = "checksum"
 def site_summary(sites: DataFrame, elements: DataFrame | None = None, max_atomic_number: int | None = None) -> DataFrame:
     """By metal over unique sites: structures, sites, those that are open, and their percentages; most structures first.
 
-    One aggregate gives both sides. A largest atomic number is applied after it and needs the element dimension.
+    Sites are summed by metal and structure first, so distinct structures are counted without expanding rows for each
+    distinct count. A largest atomic number is applied after the aggregate and needs the element dimension.
     """
-    unique = sites.where("is_unique")
-    out = unique.groupBy("metal").agg(
-        F.count_distinct("name").alias("structures"),
-        F.count_distinct(F.when(F.col("is_open"), F.col("name"))).alias("structures_with_oms"),
-        F.count("is_open").alias("metal_sites"),
-        F.sum(F.col("is_open").cast("long")).alias("oms"),
-    )
+    by_structure = sites.where("is_unique").groupBy("metal", "name").agg(F.count("is_open").alias("n"), F.sum(F.col("is_open").cast("long")).alias("o"))
+    out = by_structure.groupBy("metal").agg(F.count("name").alias("structures"), F.count(F.when(F.col("o") > 0, F.col("name"))).alias("structures_with_oms"), F.sum("n").alias("metal_sites"), F.sum("o").alias("oms"))
     out = out.withColumn("structures_pct", S.percentage(F.col("structures_with_oms"), F.col("structures"))).withColumn("oms_pct", S.percentage(F.col("oms"), F.col("metal_sites")))
     if max_atomic_number is not None:
         out = out.join(elements.where(F.col("z") <= max_atomic_number).select(F.col("symbol").alias("metal")), "metal", "left_semi")
@@ -190,11 +186,12 @@ def site_summary(sites: DataFrame, elements: DataFrame | None = None, max_atomic
 
 def site_totals(sites: DataFrame) -> DataFrame:
     """One row: structures, structures with any open site, unique sites, unique open sites."""
-    return sites.agg(
-        F.count_distinct("name").alias("structures"),
-        F.count_distinct(F.when(F.col("is_open"), F.col("name"))).alias("structures_with_oms"),
-        F.count_if("is_unique").alias("unique_sites"),
-        F.count_if(F.col("is_unique") & F.col("is_open")).alias("unique_oms"),
+    by_structure = sites.groupBy("name").agg(F.bool_or("is_open").alias("open"), F.count_if("is_unique").alias("u"), F.count_if(F.col("is_unique") & F.col("is_open")).alias("o"))
+    return by_structure.agg(
+        F.count("name").alias("structures"),
+        F.count(F.when(F.col("open"), F.col("name"))).alias("structures_with_oms"),
+        F.coalesce(F.sum("u"), F.lit(0)).alias("unique_sites"),
+        F.coalesce(F.sum("o"), F.lit(0)).alias("unique_oms"),
     )
 
 

@@ -209,6 +209,11 @@ def distribute_networks(metals: list[tuple[str, float, int]], table: dict[str, E
     return out
 
 
+def distribute_globally(metals: list[tuple[str, float]], table: dict[str, ElementStates]) -> list[float]:
+    """The same with all metals of a structure as one network."""
+    return distribute_networks([(e, s, 0) for e, s in metals], table)
+
+
 def distribute_outer(metals: list[tuple[str, float]], charge: float, table: dict[str, ElementStates]) -> list[float]:
     """(element, state) -> states after an outer-sphere charge is spread over single atoms, equal energies together."""
     return spread_charge([s for _, s in metals], [[k] for k in range(len(metals))], [table[e] for e, _ in metals], charge, True) if charge else [s for _, s in metals]

@@ -554,6 +554,72 @@ def relabelled_atoms(spark, d):
     return B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("structure_id"), "l_suppkey", "l_linenumber", F.row_number().over(order).alias("n"))
 
 
+@query("""WITH f AS (SELECT event_type AS structure_id, CAST(event_id % 100 AS DOUBLE) AS f, CAST(count(*) AS DOUBLE) AS w FROM events GROUP BY 1, 2)
+SELECT structure_id, k * 0.5::DOUBLE AS frequency, round(sum(w * exp(-((k * 0.5::DOUBLE - f) * (k * 0.5::DOUBLE - f)) / 0.5::DOUBLE) / (0.5::DOUBLE * sqrt(2 * pi()))), 6) AS dos FROM f, range(201) AS r(k) GROUP BY structure_id, k""")
+def smeared_spectra(spark, d):
+    """Gaussian smearing of frequencies over a fixed grid."""
+    rows = B.table(spark, d, "events").groupBy(F.col("event_type").alias("structure_id"), (F.col("event_id") % 100).cast("double").alias("frequency")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return FE.gaussian_dos(rows).withColumn("dos", F.round("dos", 6))
+
+
+_CV = f"{S.AVOGADRO * S.BOLTZMANN!r}::DOUBLE * ({_K} * f / {{t}}) * ({_K} * f / {{t}}) * exp({_K} * f / {{t}}) / ((exp({_K} * f / {{t}}) - 1) * (exp({_K} * f / {{t}}) - 1)) * w"
+
+
+@query(f"""WITH e AS (SELECT event_type AS structure_id, CASE WHEN event_type = 'click' THEN event_id % 2 ELSE event_id % 3 END AS site, CAST(event_id % 50 + 1 AS DOUBLE) AS f, CAST(event_id % 5 AS DOUBLE) AS w FROM events)
+SELECT structure_id, site, round(sum({_CV.format(t=300)}), 4) AS cv_300, round(sum({_CV.format(t=400)}), 4) AS cv_400 FROM e WHERE structure_id <> 'click' GROUP BY 1, 2""")
+def site_heat_capacities(spark, d):
+    """Labels by site, of structures with as many sites as spectra."""
+    kind = F.col("event_type")
+    rows = B.table(spark, d, "events").select(kind.alias("structure_id"), F.when(kind == "click", F.col("event_id") % 2).otherwise(F.col("event_id") % 3).alias("site"), (F.col("event_id") % 50 + 1).cast("double").alias("frequency"), (F.col("event_id") % 5).cast("double").alias("dos"))
+    sites_of = rows.select("structure_id").distinct().withColumn("n_sites", F.lit(3))
+    out = I.site_labels(rows, sites_of, [300.0, 400.0])
+    return out.select("structure_id", "site", F.round("pCv_300_00", 4).alias("cv_300"), F.round("pCv_400_00", 4).alias("cv_400"))
+
+
+@query("""SELECT p_partkey, CAST(p_size AS DOUBLE) AS s0, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice * 2 END) AS s1, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice * 2 END) AS t0, (p_size - 25.0::DOUBLE) / 5.0::DOUBLE AS scaled FROM part""")
+def stability_vectors(spark, d):
+    """H4: vectors from four feature tables, in both orders, and standardised."""
+    p, none = F.col("p_partkey"), F.expr("map()").cast("map<string,double>")
+    one = lambda c, n, v: F.when(c, F.create_map(F.lit(n), v)).otherwise(none)
+    rows = B.table(spark, d, "part").select("p_partkey", one(p % 2 == 0, "d", F.col("p_retailprice")).alias("metal"), one(p % 3 == 0, "d", F.col("p_retailprice") * 2).alias("linker"), none.alias("group"), F.create_map(F.lit("g"), F.col("p_size").cast("double")).alias("geometry"))
+    out = I.stability_vectors(rows, ["g"], ["d"])
+    return out.select("p_partkey", F.col("solvent")[0].alias("s0"), F.col("solvent")[1].alias("s1"), F.col("thermal")[0].alias("t0"), I.standardised(F.col("solvent"), [25.0, 0.0], [5.0, 1.0])[0].alias("scaled"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS structure_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS atom_idx, l_returnflag AS label, CAST(l_linenumber % 2 AS DOUBLE) AS fx, l_quantity > 25 AS inside, CAST(l_quantity AS INT) % 4 AS degree FROM lineitem),
+k AS (SELECT a.*, row_number() OVER (PARTITION BY structure_id, fx, label ORDER BY degree DESC, atom_idx) AS n FROM a WHERE (structure_id, fx) IN (SELECT structure_id, fx FROM a WHERE inside)) SELECT structure_id, atom_idx, label FROM k WHERE n = 1""")
+def unique_sites(spark, d):
+    """Atoms on the asymmetric unit's places, the one with most neighbours for each."""
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    rows = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("structure_id"), n.alias("atom_idx"), F.col("l_returnflag").alias("label"), (F.col("l_linenumber") % 2).cast("double").alias("fx"), F.lit(0.0).alias("fy"), F.lit(0.0).alias("fz"), (F.col("l_quantity") > 25).alias("inside"), (F.col("l_quantity").cast("int") % 4).alias("degree"))
+    return O.unique_sites(rows.drop("degree"), rows.where("inside"), rows).select("structure_id", "atom_idx", "label")
+
+
+@query("""WITH v AS (SELECT l_orderkey AS structure_id, l_returnflag AS label, max(l_tax) AS value FROM lineitem WHERE l_linenumber < 3 GROUP BY 1, 2) SELECT l.l_orderkey AS structure_id, l.l_linenumber, l.l_returnflag AS label, v.value FROM lineitem l LEFT JOIN v ON v.structure_id = l.l_orderkey AND v.label = l.l_returnflag""")
+def values_of_duplicates(spark, d):
+    """A value of unique sites, spread to all atoms of the label."""
+    rows = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("structure_id"), "l_linenumber", F.col("l_returnflag").alias("label"), "l_tax")
+    values = rows.where("l_linenumber < 3").groupBy("structure_id", "label").agg(F.max("l_tax").alias("value"))
+    return O.spread_to_duplicates(values, rows.drop("l_tax")).select("structure_id", "l_linenumber", "label", "value")
+
+
+@query("SELECT event_id, regexp_extract(name, '^(.*)_[^_]*$', 1) AS structure FROM (SELECT event_id, event_type || '_' || CAST(user_id AS VARCHAR) || '_' || CAST(event_id % 9 AS VARCHAR) AS name FROM events)")
+def structures_of_sites(spark, d):
+    """The structure's name in a site's."""
+    name = F.concat_ws("_", "event_type", F.col("user_id").cast("string"), (F.col("event_id") % 9).cast("string"))
+    return B.table(spark, d, "events").select("event_id", FI.structure_of_site(name).alias("structure"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS lcd, CAST(p_size - 1 AS DOUBLE) AS pld, CAST(p_size % 4 AS INTEGER) AS dimension, p_retailprice AS asa FROM part")
+def pore_reports(spark, d):
+    """H9: numbers read from the external program's reports."""
+    t = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    size = F.col("p_size")
+    rows = B.table(spark, d, "part").select("p_partkey", t("x.res ", size, " ", size - 1, " 1\n").alias("pd"), t("y channels of dimensionality ", size % 4, "\n").alias("ch"), t("@ y ASA_A^2: ", F.col("p_retailprice"), " NASA_A^2: 1").alias("sa"))
+    diameters = FI.pore_diameters(F.col("pd"))
+    return rows.select("p_partkey", diameters[0], diameters[1], FI.channel_dimension(F.col("ch")).alias("dimension"), FI.report_value(F.col("sa"), "ASA_A^2").alias("asa"))
+
+
 # --- grouped operators: rows are checked by the tests against brute force ---
 
 
@@ -603,3 +669,9 @@ def framework_dimensions(spark, d):
 def unwrapped_fragments(spark, d):
     """N22."""
     return CL.unwrap_fragments(B.atoms(spark, d))
+
+
+@query()
+def pore_estimates(spark, d):
+    """H9: seeded estimates of surface, volume and largest sphere."""
+    return FE.pore_geometry(B.atoms(spark, d))
