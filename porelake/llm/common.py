@@ -13,20 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes handed to a Python worker at once; long texts make batches of fewer rows.
 BATCH_ROWS = 512
 
+#: By application, the folders made in the shared folder.
+_MADE: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path below spark.checkpoint.dir, which the cluster names and every executor sees.
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    A path without a scheme is the default file system's. Only where that setting is absent (tests on one machine) a
+    temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_porelake_shared", None)
         if not base:
             base = spark._porelake_shared = "file://" + tempfile.mkdtemp(prefix="porelake-")
-    if "://" not in base and base.startswith("/"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/porelake-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/porelake-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    made = full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(made)
+    return made
+
+
+def remove_made(spark: SparkSession) -> None:
+    """Deletes all that this library has put into the shared folder for this application; results read before must not be used again."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:

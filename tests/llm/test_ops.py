@@ -491,3 +491,27 @@ def test_anchors_lose_no_match():
 def test_licence_plan_is_native(spark, docs):
     plan = licences.scan(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_large_directory_is_taken_in_slices(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"http://h{k % 5}.org/{k % 9}", f"<p>{k}") for k in range(200)], "page_id long, url string, html string").repartition(3)
+    made = warc.write_archive(pages)
+    keys = warc.keys_of(pages)
+    whole = sorted(map(tuple, warc.lookup(spark, made, keys).collect()))
+    monkeypatch.setattr(warc, "DIRECTORY_ROWS", 1)
+    assert sorted(map(tuple, warc.lookup(spark, made, keys).collect())) == whole and len(whole) == 200
+
+
+def test_made_folders_can_be_removed(spark, docs):
+    from pathlib import Path
+
+    from porelake.llm import common
+
+    held = common.staged(docs.limit(3))
+    path = Path(held.inputFiles()[0].removeprefix("file://")).parent
+    kept = dict(common._MADE)
+    common._MADE.clear()
+    common._MADE[spark.sparkContext.applicationId] = [f"file://{path}"]
+    common.remove_made(spark)
+    assert not path.exists()
+    common._MADE.update(kept)
