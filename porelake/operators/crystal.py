@@ -187,6 +187,45 @@ def metal_site(cell: np.ndarray, frac: np.ndarray, symbols: list[str], centre: i
     return {"atom_idx": centre, "metal": metal, "type": kind, "is_open": kind != "Closed", "problematic": n < (5 if 56 < z < 72 or 88 < z < 97 else 3), "number_of_linkers": n, "t_factor": t_factor(vectors)}
 
 
+def translations(cell: np.ndarray, frac: np.ndarray, symbols: list[str], tolerance: float = 0.05) -> np.ndarray:
+    """Fractional shifts within the cell that map every atom onto one of its element (Å tolerance), zero first."""
+    kinds = sorted(set(symbols), key=lambda s: (symbols.count(s), s))
+    rare = [i for i, s in enumerate(symbols) if s == kinds[0]]
+    found = [np.zeros(3)]
+    for j in rare[1:]:
+        shift = (frac[j] - frac[rare[0]]) % 1.0
+        shift[np.abs(shift - 1) < 1e-6] = 0.0
+        if all(image_vectors(cell, frac[own] + shift, frac[own])[1].min(axis=1).max() < tolerance for k in kinds for own in [[i for i, s in enumerate(symbols) if s == k]]):
+            found.append(shift)
+    return np.array(found)
+
+
+def primitive(cell: np.ndarray, frac: np.ndarray, symbols: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """A cell without inner translations: its vectors, coordinates in it, and the atoms kept (the first of each orbit).
+
+    The smallest right-handed triple of lattice vectors and inner translations whose volume is the cell's over the number
+    of translations; the cell itself if there is none.
+    """
+    shifts = translations(cell, frac, symbols)
+    if len(shifts) == 1:
+        return cell, frac, list(range(len(symbols)))
+    vectors = {tuple(np.round((s + np.array(n)) @ cell, 6)) for s in shifts for n in itertools.product((-1, 0, 1), repeat=3)}
+    vectors = sorted((np.array(v) for v in vectors if np.linalg.norm(v) > 1e-6), key=lambda v: (round(float(np.linalg.norm(v)), 4), tuple(-v)))
+    target = abs(np.linalg.det(cell)) / len(shifts)
+    small = next((np.array(t) for t in itertools.combinations(vectors[:40], 3) if abs(abs(np.linalg.det(np.array(t))) - target) < 1e-3 * target), None)
+    if small is None:
+        return cell, frac, list(range(len(symbols)))
+    if np.linalg.det(small) < 0:
+        small = small[[0, 2, 1]]
+    kept: list[int] = []
+    for i, s in enumerate(symbols):
+        same = [k for k in kept if symbols[k] == s]
+        if not same or image_vectors(cell, frac[[i]] + shifts[:, None, :].reshape(-1, 3), frac[same])[1].min() > 0.05:
+            kept.append(i)
+    inside = (frac[kept] @ cell @ np.linalg.inv(small)) % 1.0
+    return small, inside, kept
+
+
 def cut_metal_oxygen(adjacent: list[set[int]], symbols: list[str], metal_neighbours: dict[int, list[int]]) -> list[set[int]]:
     """Cuts metal-oxygen bonds one by one where that sets something free, except a piece of two atoms with hydrogen in it.
 

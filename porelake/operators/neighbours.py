@@ -164,6 +164,18 @@ def arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return cell, rows[["fx", "fy", "fz"]].to_numpy(float), rows["element"].tolist()
 
 
+def primitive_cells(atoms: DataFrame) -> DataFrame:
+    """Each structure's atoms in a cell without inner translations (translations only, no standard setting): atom_idx is that of the kept atom."""
+    schema = "structure_id long, atom_idx int, element string, fx double, fy double, fz double, lattice array<array<double>>"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        cell, frac, symbols = arrays(rows)
+        small, inside, kept = crystal.primitive(cell, frac, symbols)
+        return pd.DataFrame([(rows["structure_id"].iloc[0], k, symbols[k], *map(float, f), small.tolist()) for k, f in zip(kept, inside)], columns=["structure_id", "atom_idx", "element", "fx", "fy", "fz", "lattice"])
+
+    return atoms.groupBy("structure_id").applyInPandas(run, schema)
+
+
 def coordination_sequences(atoms: DataFrame, shells: int = crystal.SHELLS) -> DataFrame:
     """(structure_id, atom_idx, element, shells): sizes of the shells around every atom, comma-joined."""
 

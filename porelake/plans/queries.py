@@ -659,6 +659,19 @@ def autocorrelations(spark, d):
     return FE.autocorrelations(B.atoms(spark, d))
 
 
+@query()
+def named_descriptors(spark, d):
+    """H3: the 176 descriptors by name."""
+    out = FE.named_descriptors(B.atoms(spark, d))
+    return out.select("structure_id", *(F.to_json(c).alias(c) for c in ("metal", "linker", "functional")))
+
+
+@query()
+def primitive_cells(spark, d):
+    """Cells without inner translations."""
+    return N.primitive_cells(B.atoms(spark, d))
+
+
 @query()
 def framework_dimensions(spark, d):
     """H8."""

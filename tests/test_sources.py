@@ -153,3 +153,21 @@ def test_streaming_adds_each_content_once(spark, tmp_path):
     (src / "b.cif").write_text(TWO)
     run()
     assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+
+
+def test_writers(spark, tmp_path):
+    import glob
+
+    kept = spark.createDataFrame([("a_FSR", 5.0, 6.0, 7.0, 90.0, 90.0, 90.0, [("O1", "O", 0.1, 0.2, 0.3)])], "file_name string, a double, b double, c double, alpha double, beta double, gamma double, atoms array<struct<label:string,element:string,fx:double,fy:double,fz:double>>")
+    files.write_structures(kept, str(tmp_path / "cif"))
+    text = open(glob.glob(str(tmp_path / "cif" / "file_name=a_FSR" / "part*"))[0]).read()
+    assert cif.structure(cif.parse(text)[0])["sites"][0][1] == "O"
+    rows = spark.createDataFrame([("x", 1.0, [0.5])], "name string, min_dihedral double, ion_charges array<double>")
+    files.write_summaries(rows, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).columns == ["ion_charges", "name"]
+    files.write_cleaning_table(rows, str(tmp_path / "csv"))
+    files.write_cleaning_table(rows, str(tmp_path / "csv"), append=True)
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
+    hist = spark.createDataFrame([(4, True, 0, 0.01, 3)], "number_of_linkers int, is_open boolean, bin int, centre double, n long")
+    files.write_histogram(hist, str(tmp_path / "hist"))
+    assert spark.read.text(str(tmp_path / "hist")).first()["value"] == "0.01 3"
