@@ -176,13 +176,13 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with one more column, `_contaminated`; in a single pass if the benchmark's tables fit one executor."""
+    """docs with one more column, `_porelake_contaminated`; in a single pass if the benchmark's tables fit one executor."""
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("b")).first().b
     passes = max(1, -(-size // TABLE_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes).cast("long"))
-    out = docs.withColumn("_contaminated", F.lit(False))
+    out = docs.withColumn("_porelake_contaminated", F.lit(False))
     for k in range(passes):
         shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.where(block == k).toLocalIterator()])
         out = _flag(out, shared, window)
@@ -193,7 +193,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 def _flag(docs: DataFrame, shared, window: int) -> DataFrame:
     names = docs.columns
-    text, flag = names.index("text"), names.index("_contaminated")
+    text, flag = names.index("text"), names.index("_porelake_contaminated")
     built: list[list[WuManber]] = []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from porelake.llm.common import small_batches
 
 #: Bytes of a window; hidden units a direction; windows that run side by side.
 WINDOW, HIDDEN, LANES = 96, 8, 4096
-#: The fit: labelled documents a language at most, windows from each, steps, windows a step, step size. The bound on what
+#: The fit: labelled documents a language (their expected number), windows from each, steps, windows a step, step size. The bound on what
 #: reaches the driver: DOCS_PER_LANG * WINDOWS_PER_DOC * WINDOW bytes for each of at most MAX_LANGS languages.
 DOCS_PER_LANG, WINDOWS_PER_DOC, MAX_LANGS = 400, 6, 256
 STEPS, BATCH, RATE = 260, 192, 0.02
@@ -167,7 +167,7 @@ def held_out(doc_id) -> object:
 
 
 def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> BiGRU:
-    """Fits a network on text and lang of labelled documents that aren't held out, at most docs_per_lang a language.
+    """Fits a network on text and lang of labelled documents that aren't held out, about docs_per_lang a language.
 
     Two reads: languages are counted (an aggregate), then about as many documents of each as the bound allows are drawn by a
     hash of their id, and only windows of them, spaced evenly over the whole text, reach the driver. At most MAX_LANGS
@@ -238,4 +238,4 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def known_language(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language can be told; those answered `und` go."""
-    return predict(docs, learn(docs), ("_lang_pred", "_score")).where(F.col("_lang_pred") != UNKNOWN).drop("_lang_pred", "_score")
+    return predict(docs, learn(docs), ("_porelake_lang", "_porelake_score")).where(F.col("_porelake_lang") != UNKNOWN).drop("_porelake_lang", "_porelake_score")

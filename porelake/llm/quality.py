@@ -116,7 +116,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    bad = judged(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("n_words").alias("_n"), F.col("word_chars").alias("_chars"), F.col("text_hash").alias("_hash")).distinct()
+    bad = judged(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash")).distinct()
     return without(docs, bad)
 
 
@@ -127,12 +127,12 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [xxhash.xxh64_intdigest((t.as_py() or "").encode("utf-8", "replace"), 1) - (1 << 63) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.int64())], [*batch.schema.names, "_text_hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.int64())], [*batch.schema.names, "_porelake_text_hash"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    hashed = docs.mapInArrow(rows, f"{schema}, _text_hash long")
-    same = hashed["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.coalesce(hashed["source"].cast("string"), F.lit("")) == bad["_host"]) & (hashed["_text_hash"] == bad["_hash"])
-    return hashed.join(bad, same, "left_anti").drop("_text_hash")
+    hashed = docs.mapInArrow(rows, f"{schema}, _porelake_text_hash long")
+    same = hashed["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.coalesce(hashed["source"].cast("string"), F.lit("")) == bad["_host"]) & (hashed["_porelake_text_hash"] == bad["_hash"])
+    return hashed.join(bad, same, "left_anti").drop("_porelake_text_hash")
 
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'"

@@ -221,8 +221,8 @@ def first_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = R
     rows = staged(grouped(docs, "doc_id", "text", shingle, radius, spare, tree_size).select("doc_id", "text_hash", "first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     gone = rows.where(~same).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-    kept = hashed.join(gone, hashed["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (hashed["_text_hash"] == gone["_hash"]), "left_anti")
+    hashed = docs.withColumn("_porelake_text_hash", F.xxhash64(F.col("text").cast("string")))
+    kept = hashed.join(gone, hashed["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (hashed["_porelake_text_hash"] == gone["_hash"]), "left_anti")
     if rows.where(same).groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_text_hash"])
-    return kept.drop("_text_hash")
+        kept = kept.dropDuplicates(["doc_id", "_porelake_text_hash"])
+    return kept.drop("_porelake_text_hash")

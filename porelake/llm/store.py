@@ -22,13 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from porelake.llm.common import gathered, remove, shared_dir, small_batches, staged
-from porelake.llm.tokens import BATCH_CHARS, encoder
+from porelake.llm.tokens import encoder
 
 END_ID = 2
 MAGIC = b"PLCHUNK1"
 DIGEST = 16
 #: Ids that the rolling hash sees; a cut falls where its top CUT_BITS bits are zero, between LEAST and MOST ids apart.
 REACH, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
+#: Words that a writing worker remembers, and bytes of text that it encodes at once.
+CACHE_WORDS, BATCH_CHARS = 1_000_000, 12 << 20
 #: Ids that are hashed at once.
 BLOCK = 1 << 15
 #: A reading worker reads ranges of so many bytes and remembers so many of them, and so many open packs.
@@ -180,7 +182,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> S
     loose = f"{path}/loose"
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer_path)
+        tokens = encoder(tokenizer_path, CACHE_WORDS, BATCH_CHARS)
         part, place, writer, seen = TaskContext.get().partitionId(), 0, PackWriter(loose), set()
         for batch in gathered(batches, BATCH_CHARS):
             n_tokens, roots, recipes, news, offsets, lengths, own_ends = [], [], [], [], [], [], [0]

@@ -15,10 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a worker remembers; it starts anew beyond them.
-CACHE_WORDS = 400_000
-#: Characters of texts that encode_batch() takes at once.
-BATCH_CHARS = 4 << 20
+#: Words a worker remembers, starting anew beyond them, and bytes of texts that encode_batch() takes at once.
+CACHE_WORDS, BATCH_CHARS = 400_000, 4 << 20
 
 #: White space that Python and the tokenizers may see differently, or that isn't ASCII.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
@@ -49,12 +47,12 @@ _LETTERS = dict(enumerate(_byte_letters()))
 
 
 class _Cache(dict):
-    def __init__(self, encode) -> None:
+    def __init__(self, encode, most: int) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         ids = self[word] = self.encode(word)
         return ids
@@ -70,7 +68,7 @@ def _pack(ids: list[int]) -> bytes:
 class Encoder:
     """encode(text) gives little-endian unsigned 32-bit ids, without special tokens; their strings in a text are plain text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, batch_chars: int = BATCH_CHARS) -> None:
         import json
 
         from tokenizers import Tokenizer
@@ -87,8 +85,9 @@ class Encoder:
         self.blank = " " if self.spaced else ""
         self.ends = {mark: self.whole(mark) for mark in _ENDS}
         self.line_end = self.whole("\n") if self.spaced else b""
-        self.cache = _Cache(self._word)
-        self.unspaced = _Cache(self.whole)
+        self.batch_chars = batch_chars
+        self.cache = _Cache(self._word, cache_words)
+        self.unspaced = _Cache(self.whole, cache_words)
 
     def whole(self, text: str) -> bytes:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -139,7 +138,7 @@ class Encoder:
         Words are split and made distinct by Arrow, so each distinct word of a batch is looked up once; null is empty.
         """
         parts, sizes = [], []
-        for at, n in _slices(texts):
+        for at, n in _slices(texts, self.batch_chars):
             ids, size = self._some(texts.slice(at, n), end_id)
             parts.append(ids), sizes.append(size)
         ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
@@ -187,12 +186,12 @@ class Encoder:
         return ids, np.diff(edges)
 
 
-def _slices(texts: pa.Array) -> list[tuple[int, int]]:
-    """Runs of texts of about BATCH_CHARS bytes: at, number."""
+def _slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Runs of texts of about so many bytes: at, number."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     out, at, held = [], 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if held and held + n > BATCH_CHARS:
+        if held and held + n > most:
             out.append((at, i - at))
             at, held = i, 0
         held += n
@@ -202,8 +201,8 @@ def _slices(texts: pa.Array) -> list[tuple[int, int]]:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS, batch_chars: int = BATCH_CHARS) -> Encoder:
     """The worker's encoder for a vocabulary file; it and its cache live on from task to task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, cache_words, batch_chars)
     return _ENCODERS[path]
