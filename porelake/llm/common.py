@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes handed to a Python worker at once; long texts make batches of fewer rows.
 BATCH_ROWS = 512
 
+#: Bytes of sources for each file that few_files() allows, and the number from which on it leaves partitions alone.
+FILE_BYTES, MOST_FEW = 4 << 20, 10_000
+
 #: By application, the folders made in the shared folder.
 _MADE: dict[str, list[str]] = {}
 
@@ -50,11 +53,26 @@ def small_batches(spark: SparkSession) -> None:
         pass
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it: cuts lineage, survives lost executors."""
+def few_files(df: DataFrame) -> DataFrame:
+    """df in no more partitions than its sources fill files of FILE_BYTES, and eight for each core at least.
+
+    Small tables in very many partitions would be as many tiny files, each with its own calls to the file system; the
+    partitions of large ones are left alone.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    n = max(8 * df.sparkSession.sparkContext.defaultParallelism, size // FILE_BYTES)
+    return df.coalesce(n) if n < MOST_FEW else df
+
+
+def staged(df: DataFrame, by_task: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it: cuts lineage, survives lost executors.
+
+    by_task: df's rows carry their partition's number, so its partitions must not be put together.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    (df if by_task else few_files(df)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -64,7 +64,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             yield out()
 
     small_batches(docs.sparkSession)
-    return staged(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(rows, _PIECE))
+    return staged(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(rows, _PIECE), by_task=True)
 
 
 def best_fit(sizes: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from porelake.llm import decontaminate, html, langid, licences, packing, quality, simhash, store, tokencount, warc
-from porelake.llm.common import table
+from porelake.llm.common import few_files, table
 
 
 def vocabulary(name: str) -> str:
@@ -18,44 +18,44 @@ def vocabulary(name: str) -> str:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(spark.read.parquet(table(sf_dir, "documents")))
+    return few_files(simhash.near_duplicates(spark.read.parquet(table(sf_dir, "documents"))))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(spark.read.parquet(table(sf_dir, "documents")), spark.read.parquet(table(sf_dir, "benchmark")))
-    return decontaminate.report(found)
+    return few_files(decontaminate.report(found))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(spark.read.parquet(table(sf_dir, "documents")))
+    return few_files(langid.identify(spark.read.parquet(table(sf_dir, "documents"))))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(spark.read.parquet(table(sf_dir, "pages")))
+    return few_files(html.extract(spark.read.parquet(table(sf_dir, "pages"))))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(spark.read.parquet(table(sf_dir, "documents")), vocabulary("word_bpe_49k.json"))
+    return few_files(packing.packed(spark.read.parquet(table(sf_dir, "documents")), vocabulary("word_bpe_49k.json")))
 
 
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark.read.parquet(table(sf_dir, "pages")))
+    return few_files(warc.round_trip(spark.read.parquet(table(sf_dir, "pages"))))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(spark.read.parquet(table(sf_dir, "documents")), vocabulary("piece_bpe_32k.model"))
+    return few_files(tokencount.count_tokens(spark.read.parquet(table(sf_dir, "documents")), vocabulary("piece_bpe_32k.model")))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(spark.read.parquet(table(sf_dir, "documents")))
+    return few_files(quality.quality(spark.read.parquet(table(sf_dir, "documents"))))
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(spark.read.parquet(table(sf_dir, "documents")))
+    return few_files(licences.scan(spark.read.parquet(table(sf_dir, "documents"))))
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.round_trip(spark.read.parquet(table(sf_dir, "documents")), vocabulary("byte_bpe_50k.json"))
+    return few_files(store.round_trip(spark.read.parquet(table(sf_dir, "documents")), vocabulary("byte_bpe_50k.json")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

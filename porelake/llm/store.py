@@ -229,7 +229,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> S
         if writer is not None:
             writer.close()
 
-    encoded = staged(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(chunked, _ENCODED))
+    encoded = staged(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(chunked, _ENCODED), by_task=True)
     elected = encoded.select("pack", F.explode("own").alias("c")).groupBy("c.digest").agg(F.min(F.struct("pack", "c.offset", "c.length")).alias("at"))
     owned = elected.select("at.pack", "at.offset", "at.length", "digest").repartition("pack").sortWithinPartitions("pack", "offset")
     owned.mapInArrow(compacted, "digest binary, pack string, offset long, length int").write.parquet(f"{path}/index")
@@ -289,7 +289,7 @@ def with_starts(read: DataFrame) -> DataFrame:
 
     flat = read.repartitionByRange("doc_id", "part", "place").sortWithinPartitions("doc_id", "part", "place")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields)
-    ranged = staged(flat.mapInArrow(local, f"{schema}, range int, local_start long"))
+    ranged = staged(flat.mapInArrow(local, f"{schema}, range int, local_start long"), by_task=True)
     totals = ranged.groupBy("range").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range partition
     bases = totals.select("range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

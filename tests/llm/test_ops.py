@@ -515,3 +515,20 @@ def test_made_folders_can_be_removed(spark, docs):
     common.remove_made(spark)
     assert not path.exists()
     common._MADE.update(kept)
+
+
+def test_many_small_partitions_keep_their_numbers(spark, docs):
+    """Partitions are put together before small tables are written; what is numbered by partition must not be."""
+    many = docs.where("doc_id < 300").repartition(80)
+    rows = packing.packed(many, WORD).collect()
+    sequences = check_packing(rows, None)
+    assert sequences <= 1.02 * sum(r.length for r in rows) / 2048 + 2
+    at = 0
+    for r in store.round_trip(many, BYTE).orderBy("doc_id").collect():
+        assert r.start == at
+        at += r.n_tokens
+    assert at == sum(len(plain_ids(BYTE, r.text)) + 1 for r in docs.where("doc_id < 300").collect())
+    few = spark.range(10).repartition(400)
+    from porelake.llm.common import few_files
+
+    assert few_files(few).rdd.getNumPartitions() < 400
