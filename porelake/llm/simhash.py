@@ -213,12 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def first_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, spare: int = SPARE, tree_size: int = TREE_SIZE) -> DataFrame:
-    """The rows of docs with all their columns, one for each component: that of the smallest doc_id, nulls last, ties by text.
-
-    Of repeated rows of that one id and text, one stays.
-    """
-    rows = staged(grouped(docs, "doc_id", "text", shingle, radius, spare, tree_size).select("doc_id", "text_hash", "first"))
+def only_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text_hash, first) of docs, staged -> the rows of docs that are their groups' first; of repeated ones, one."""
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     gone = rows.where(~same).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     hashed = docs.withColumn("_porelake_text_hash", F.xxhash64(F.col("text").cast("string")))
@@ -226,3 +222,11 @@ def first_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = R
     if rows.where(same).groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "_porelake_text_hash"])
     return kept.drop("_porelake_text_hash")
+
+
+def first_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, spare: int = SPARE, tree_size: int = TREE_SIZE) -> DataFrame:
+    """The rows of docs with all their columns, one for each component: that of the smallest doc_id, nulls last, ties by text.
+
+    Of repeated rows of that one id and text, one stays.
+    """
+    return only_first(docs, staged(grouped(docs, "doc_id", "text", shingle, radius, spare, tree_size).select("doc_id", "text_hash", "first")))
