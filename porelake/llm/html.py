@@ -1,9 +1,10 @@
 """Main-text extraction: a streaming parser's events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
-Each block of a page is a line. Its ratio is its characters over its tags; the ratios are smoothed along the page, and lines
-at or above their standard deviation form the content regions. A region within an article or main element stands for all of
-that element, so that its title and short paragraphs stay; elsewhere a region takes the headings just before it along.
-Menus, adverts and the like are never content, whatever their ratio.
+Each block of a page is a line. Its ratio is its characters over its tags; the logarithms of the ratios are smoothed along
+the page, so that one very long block sets no bar for the others, and lines at or above their standard deviation form the
+content regions. A region within an article or main element stands for all of that element, so that its title and short
+paragraphs stay; elsewhere a region takes the headings just before it and its sibling blocks along, up to boilerplate or
+blocks that are links for the most part. Menus, adverts and the like are never content, whatever their ratio.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ BLOCKS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset(("article", "main"))
+#: A block that is links for the most part is content from this part of the other content's upper quartile of ratios on.
+LINK_SHARE = 4
+TOPS = frozenset(("", "html", "body"))
 #: Elements whose text is no part of an article; header only outside of one.
 BOILERPLATE = frozenset("head title nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -51,13 +55,17 @@ _ENDS_P = BLOCKS - {"br", "body", "html", "head", "title", "option", "li", "dd",
 
 
 class Line:
-    """A block's text and tags, whether it can be content, its content element's number and whether it is a heading."""
+    """A block's text and tags, whether it can be content, its content element's number and whether it is a heading.
 
-    __slots__ = ("allowed", "chars", "container", "heading", "tags", "text")
+    parent is the element that holds the block, path the open elements that a region of it can stand for.
+    """
+
+    __slots__ = ("allowed", "chars", "container", "heading", "linked", "parent", "path", "tags", "text")
 
     def __init__(self, allowed: bool, container: int, heading: bool) -> None:
         self.text: list[str] = []
         self.tags, self.chars, self.allowed, self.container, self.heading = 0, 0, allowed, container, heading
+        self.linked, self.parent, self.path = 0, 0, ()
 
 
 class Reader(HTMLParser):
@@ -65,20 +73,25 @@ class Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # open elements: tag, whether its text can be content, content element
+        self.stack: list[tuple[str, bool, int, int]] = []  # open elements: tag, whether its text can be content, content element, number
+        self.elements, self.in_link = 0, False
         self.lines: list[Line] = []
         self.containers = 0
         self.open_line(True, 0, False)
 
-    def open_line(self, allowed: bool, container: int, heading: bool) -> None:
+    def open_line(self, allowed: bool, container: int, heading: bool, own: bool = False) -> None:
         line = self.lines[-1] if self.lines else None
         if line is None or line.text:
             self.lines.append(Line(allowed, container, heading))
         else:
             line.allowed, line.container, line.heading = allowed, container, heading
+        blocks = [x for x in self.stack if x[0] in BLOCKS]
+        line, held = self.lines[-1], blocks[:-1] if own else blocks
+        line.parent = held[-1][3] if held else 0
+        line.path = tuple(x[3] for x in blocks if x[0] not in TOPS)
 
     def here(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (True, 0)
+        return self.stack[-1][1:3] if self.stack else (True, 0)
 
     def close_open(self, tags: tuple[str, ...], outer: tuple[str, ...]) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -96,7 +109,7 @@ class Reader(HTMLParser):
             self.close_open(*CLOSES["p"])
         allowed, container = self.here()
         if tag in CONTENT:
-            if not any(tag_ in BOILERPLATE for tag_, _, _ in self.stack):  # a class mark on an element left open ends here
+            if not any(tag_ in BOILERPLATE for tag_, *_ in self.stack):  # a class mark on an element left open ends here
                 allowed = True
             if not container and allowed:
                 self.containers += 1
@@ -108,9 +121,11 @@ class Reader(HTMLParser):
         elif mark != " " and tag not in CONTENT and tag not in ("body", "html") and (MARKS.search(mark) or (not container and HEADER_MARK.search(mark))):
             allowed = False
         if tag not in VOID:
-            self.stack.append((tag, allowed, container))
+            self.elements += 1
+            self.stack.append((tag, allowed, container, self.elements))
+        self.in_link |= tag == "a"
         if tag in BLOCKS:
-            self.open_line(*((allowed, container) if tag not in VOID else self.here()), tag in HEADINGS)
+            self.open_line(*((allowed, container) if tag not in VOID else self.here()), tag in HEADINGS, tag not in VOID)
         elif tag not in VOID and allowed != self.lines[-1].allowed:
             self.open_line(allowed, container, False)
 
@@ -121,6 +136,7 @@ class Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.lines[-1].tags += 1
+        self.in_link &= tag != "a"
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 before = self.here()
@@ -133,6 +149,7 @@ class Reader(HTMLParser):
         line = self.lines[-1]
         line.text.append(data)
         line.chars += len(data)
+        line.linked += len(data) * self.in_link
 
     def unknown_decl(self, data: str) -> None:
         """Marked sections are no text."""
@@ -165,14 +182,22 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not found:
         return ""
     ratios = np.array([len(text) / max(1, line.tags) if line.allowed else 0.0 for line, text in found])
-    smooth = smoothed(ratios, sigma)
+    smooth = smoothed(np.log1p(ratios), sigma)
     content = (smooth >= smooth.std()) & (ratios > 0)
     inside = {line.container for (line, _), yes in zip(found, content) if yes and line.container}
-    keep = np.array([line.allowed and (line.container in inside if inside else bool(yes)) for (line, _), yes in zip(found, content)])
-    if not inside:
-        for i in range(len(found) - 2, -1, -1):
-            if found[i][0].heading and found[i][0].allowed and keep[i + 1]:
-                keep[i] = True
+    links = [2 * line.linked > line.chars for line, _ in found]
+    plain = [ratio for (line, _), yes, linked, ratio in zip(found, content, links, ratios) if yes and not linked]
+    least = np.percentile(plain, 75) / LINK_SHARE if plain else 0.0
+    region = [bool(yes) and not line.container and not (linked and ratio < least) for (line, _), yes, linked, ratio in zip(found, content, links, ratios)]
+    part = np.cumsum([not line.allowed or linked for (line, _), linked in zip(found, links)])
+    held = {(at, line.parent) for (line, _), yes, at, linked in zip(found, region, part, links) if yes and not linked}
+    keep = []
+    for (line, _), yes, at, linked in zip(found, region, part, links):
+        beside = not linked and any((at, e) in held for e in (line.parent, *line.path))
+        keep.append(line.allowed and (line.container in inside if line.container else yes or beside))
+    for i in range(len(found) - 2, -1, -1):
+        if found[i][0].heading and found[i][0].allowed and not found[i][0].container and keep[i + 1] and not found[i + 1][0].container:
+            keep[i] = True
     return " ".join(text for (_, text), yes in zip(found, keep) if yes)
 
 
