@@ -477,11 +477,51 @@ def test_licences(spark, odd, empty):
     assert licences.scan(odd).count() == len(ODD) and licences.scan(empty).count() == 0
 
 
+def test_licences_at_the_threshold_and_in_longer_lines(spark):
+    """Sizes are of distinct bigrams and bounds exact; notices are found within lines and licences across paragraphs."""
+    whole = dict(licences.WHOLE)["ISC"]
+    texts = [
+        "This is Licensed under the MIT License.",  # Dice 0.8
+        "Licensed under the MIT License. Licensed under the MIT License.",  # repeated bigrams
+        "The code in question (c) 2024 somebody. Licensed under CC BY 4.0. And more words follow on the same line.",
+        "This project is released under the MIT License.",
+        f"My own words before it.\n\n{whole}\n\nAnd some words behind it that are no licence.",
+        "Licensed under a License of another kind that MIT never saw.",
+        "word " * 200_000 + "released under the MIT license",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[3])], "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("own", F.lit(1))
+    rows = licences.scan(docs).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 9 and got[0].best == got[1].best == got[3].best == got[6].best == got[None].best == "MIT"
+    assert got[0].score == 1.0 and got[1].score == 1.0 and got[1].n_matches == 2  # the line and, once, the text
+    assert got[2].best == "CC-BY-4.0" and "ISC" in got[4].licences.split(",") and got[5].n_matches == 0
+    assert licences.bounds(4, 80) == (3, 6) and licences.bounds(5, 80) == (4, 7)
+
+
+def test_licences_against_plain_dice(spark):
+    rng = random.Random(9)
+    few = (("A", "one two three four five six"), ("B", "two three five eight thirteen"), ("C", "one two one two three"))
+    texts = [" ".join(rng.choice("one two three four five six eight thirteen x".split()) for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    want = []
+    for text in texts:
+        words, found = text.split(), {}
+        for spdx, template in few:
+            other = set(licences.bigrams_of(template))
+            for size in {len(words) - 1, min(len(words), len(template.split())) - 1}:
+                for at in range(len(words) - size):
+                    own = {f"{a} {b}" for a, b in zip(words[at : at + size], words[at + 1 : at + size + 1])}
+                    if own and 200 * len(own & other) >= 80 * (len(own) + len(other)):
+                        found[spdx] = max(found.get(spdx, 0), 2 * len(own & other) / (len(own) + len(other)))
+        want.append((round(max(found.values(), default=0.0), 6), min((k for k in found if found[k] == max(found.values())), default=None)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.score, r.best) for r in licences.scan(docs, few).orderBy("doc_id").collect()] == want
+
+
 def test_anchors_lose_no_match():
     rng = random.Random(6)
-    for _, text in licences.TEMPLATES:
+    for _, text in licences.TEMPLATES + licences.WHOLE:
         own = licences.bigrams_of(text)
-        starts = set(licences.anchors(own, 0.8))
+        starts = set(licences.anchors(own, 80))
         for _ in range(50):
             other = {b for b in own if rng.random() < rng.choice((0.6, 0.8, 0.95))} | {f"q{k} r" for k in range(rng.randint(0, 5))}
             if 2 * len(other & set(own)) / (len(other) + len(set(own))) >= 0.8:
