@@ -6,11 +6,8 @@ expressions over a cluster table, for data whose clusters are known.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from porelake.functions import elements as E
@@ -19,8 +16,6 @@ from porelake.operators import crystal
 from porelake.operators.neighbours import arrays
 
 SKIN, SKIN_STEP, ION_CHARGE = 0.25, 0.05, 0.1
-#: Passes after which cleaning gives up growing the skin.
-MOST_PASSES = 40
 
 
 def label_components(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -146,19 +141,20 @@ def clean(atoms: DataFrame, skin: float = SKIN, ions: frozenset[str] = E.IONS, b
     """Two rows for each structure, FSR (free solvent removed) and ASR (all removed): the skin used, name suffix, atoms kept in output order, solvents, ions.
 
     While a solvent's formula holds a metal, the pass is repeated with a larger skin: 0.05 more for each such formula, or
-    for each pass by the charge rule, whose two kinds differ in their suffix only. Lists are comma-joined, `none` if empty.
-    A structure that fails (an unknown element) has its error and no atoms; others go on.
+    for each pass by the charge rule, whose two kinds differ in their suffix only. Once the skin bonds every atom with every
+    other, more of it changes nothing: if a metal is left in a solvent's formula then, that is the row's error. Lists are
+    comma-joined, `none` if empty. A kind that fails (so, or by an unknown element) has its error and no atoms; others go on.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sid, out = rows["structure_id"].iloc[0], []
-        try:
-            cell, frac, symbols = arrays(rows)
-            dist = crystal.distances(cell, frac)
-            charges = [None if c is None or c != c else float(c) for c in rows.sort_values("atom_idx")["charge"]] if "charge" in rows else [None] * len(symbols)
-            for kind in ("FSR", "ASR"):
-                now = skin
-                for _ in range(MOST_PASSES):
+        for kind in ("FSR", "ASR"):
+            try:
+                cell, frac, symbols = arrays(rows)
+                dist = crystal.distances(cell, frac)
+                charges = [None if c is None or c != c else float(c) for c in rows.sort_values("atom_idx")["charge"]] if "charge" in rows else [None] * len(symbols)
+                now, last = skin, False
+                while True:
                     if by_charge:
                         kept, solvents, names, sums = charge_pass(cell, frac, symbols, charges, now, dist)
                         suffix = f"_{kind}{'_ION' if names else ''}"
@@ -168,10 +164,13 @@ def clean(atoms: DataFrame, skin: float = SKIN, ions: frozenset[str] = E.IONS, b
                     metallic = sum(any(E.is_cleaning_metal(t) for t in tokens_of(f)) for f in solvents)
                     if not metallic:
                         break
+                    if last:
+                        raise ValueError(f"a metal is left in {','.join(solvents)}")
+                    last = 2 * now > float(dist.max())
                     now = round(now + SKIN_STEP * (1 if by_charge else metallic), 10)
                 out.append((sid, kind, now, suffix, kept, ",".join(solvents) or "none", ",".join(names) or "none", sums, None))
-        except Exception as e:  # noqa: BLE001  one bad structure must not end the job
-            out = [(sid, kind, None, None, None, None, None, None, f"{type(e).__name__}: {e}") for kind in ("FSR", "ASR")]
+            except Exception as e:  # noqa: BLE001  one bad structure must not end the job
+                out.append((sid, kind, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["structure_id", "kind", "skin", "suffix", "kept", "solvents", "ions", "ion_charges", "error"])
 
     return atoms.groupBy("structure_id").applyInPandas(run, _CLEANED)
@@ -234,24 +233,3 @@ def register_nodes(nodes: DataFrame, registry: DataFrame, tolerance: float = 0.3
         return pd.DataFrame(out, columns=["structure_id", "node_id", "name"])
 
     return nodes.groupBy("formula").cogroup(registry.groupBy("formula")).applyInPandas(run, "structure_id long, node_id long, name string")
-
-
-def components_arrow(edges: DataFrame, schema: str = "vertex long, root long") -> DataFrame:
-    """Components within one partition's edges (a long, b long): for graphs that were partitioned by structure already."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = sorted((root(a), root(b)))
-                up[b] = a
-        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in list(up)], pa.int64())], ["vertex", "root"])
-
-    return edges.select("a", "b").mapInArrow(run, schema)

@@ -200,21 +200,51 @@ def translations(cell: np.ndarray, frac: np.ndarray, symbols: list[str], toleran
     return np.array(found)
 
 
+def lattice_basis(shifts: np.ndarray) -> np.ndarray:
+    """A basis, in fractions, of the lattice that the unit vectors and a group of n inner translations span.
+
+    n times any translation is a lattice vector, so all are whole numbers of 1/n, and their echelon form is exact.
+    """
+    n = len(shifts)
+    rows = [[n * (i == j) for j in range(3)] for i in range(3)] + np.rint(np.asarray(shifts) * n).astype(int).tolist()
+    basis = []
+    for k in range(3):
+        while sum(1 for r in rows if r[k]) > 1:
+            least = min((r for r in rows if r[k]), key=lambda r: abs(r[k]))
+            rows = [r if r is least else [x - (r[k] // least[k]) * y for x, y in zip(r, least)] for r in rows]
+        basis.append(next(r for r in rows if r[k]))
+        rows = [r for r in rows if not r[k]]
+    return np.array(basis, float) / n
+
+
+def reduced(basis: np.ndarray) -> np.ndarray:
+    """Basis vectors made shorter by sums of the others until no such sum is."""
+    basis = basis.copy()
+    while True:
+        for i in range(3):
+            others = [basis[j] for j in range(3) if j != i]
+            best = min((basis[i] + a * others[0] + b * others[1] for a in (-1, 0, 1) for b in (-1, 0, 1)), key=np.linalg.norm)
+            if np.linalg.norm(best) < np.linalg.norm(basis[i]) - 1e-9:
+                basis[i] = best
+                break
+        else:
+            return basis
+
+
 def primitive(cell: np.ndarray, frac: np.ndarray, symbols: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """A cell without inner translations: its vectors, coordinates in it, and the atoms kept (the first of each orbit).
 
-    The smallest right-handed triple of lattice vectors and inner translations whose volume is the cell's over the number
-    of translations; the cell itself if there is none.
+    The first right-handed triple, by length, that spans the lattice of the cell's vectors and inner translations. That
+    lattice's basis is reduced first, so that its shortest vectors are small sums of basis vectors: all are searched.
     """
     shifts = translations(cell, frac, symbols)
     if len(shifts) == 1:
         return cell, frac, list(range(len(symbols)))
-    vectors = {tuple(np.round((s + np.array(n)) @ cell, 6)) for s in shifts for n in itertools.product((-1, 0, 1), repeat=3)}
-    vectors = sorted((np.array(v) for v in vectors if np.linalg.norm(v) > 1e-6), key=lambda v: (round(float(np.linalg.norm(v)), 4), tuple(-v)))
-    target = abs(np.linalg.det(cell)) / len(shifts)
-    small = next((np.array(t) for t in itertools.combinations(vectors[:40], 3) if abs(abs(np.linalg.det(np.array(t))) - target) < 1e-3 * target), None)
-    if small is None:
-        return cell, frac, list(range(len(symbols)))
+    basis = reduced(lattice_basis(shifts) @ cell)
+    vectors = {tuple(np.round(np.array(n) @ basis, 6)) for n in itertools.product((-2, -1, 0, 1, 2), repeat=3) if any(n)}
+    vectors = sorted(map(np.array, vectors), key=lambda v: (round(float(np.linalg.norm(v)), 4), tuple(-v)))
+    target = abs(np.linalg.det(basis))
+    small = next(np.array(t) for t in itertools.combinations(vectors, 3) if abs(abs(np.linalg.det(np.array(t))) - target) < 1e-3 * target)
     if np.linalg.det(small) < 0:
         small = small[[0, 2, 1]]
     kept: list[int] = []

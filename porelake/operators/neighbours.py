@@ -17,9 +17,6 @@ from porelake.functions import elements as E
 from porelake.functions.scalars import bond_limit, wrapped
 from porelake.operators import crystal
 
-#: Atoms of a structure from which on the cell-list join is the better plan.
-CELL_LIST_ATOMS = 2000
-
 
 def with_lattice(atoms: DataFrame, structures: DataFrame) -> DataFrame:
     return atoms.join(structures.select("structure_id", "lattice"), "structure_id")

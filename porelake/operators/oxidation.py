@@ -21,6 +21,8 @@ from porelake.operators import crystal
 #: Order of a bond in the valence-bond sum; delocalised and aromatic ones come from the delocalised system.
 ORDERS = {"Single": 1.0, "Double": 2.0, "Triple": 3.0, "Quadruple": 4.0}
 DELOCALISED = "Delocalised"
+#: Rows that an input table of element states may have.
+MOST_ELEMENTS = 200
 #: Least chance (per cent) of a probable next state; stand-in energies for states that are negative and beyond the known.
 PROBABLE, FREE, FORBIDDEN = 1.0, 0.0, 9999.0
 HETERO_CENTRES = frozenset(("C", "Si", "Ge", "Pb"))
@@ -455,6 +457,9 @@ def metal_states(atoms: DataFrame, bonds: DataFrame, states: dict[str, ElementSt
 
 
 def element_states(known: DataFrame, chances: DataFrame, energies: DataFrame) -> dict[str, ElementStates]:
-    """The three input tables as one dict; each has a row for each element, about a hundred."""
-    rows = known.join(chances, "element", "full_outer").join(energies, "element", "full_outer").limit(200).collect()
+    """The three input tables as one dict; each has a row for each element. Tables of over MOST_ELEMENTS rows are an error."""
+    joined = known.join(chances, "element", "full_outer").join(energies, "element", "full_outer")
+    if (n := joined.count()) > MOST_ELEMENTS:
+        raise ValueError(f"{n} rows of element states, more than there are elements ({MOST_ELEMENTS})")
+    rows = joined.collect()
     return {r.element: ElementStates(list(r.chances or []), list(r.energies or []), list(r.states or [])) for r in rows}

@@ -423,7 +423,7 @@ def mass_volume_density(spark, d):
     return C.mass_volume_density(rows, volumes, E.elements(spark)).select("structure_id", "n_atoms", F.round("mass", 6).alias("mass"), "volume", F.round("density", 6).alias("density"))
 
 
-@query(f"WITH {WITH}, s AS (SELECT structure_id, bool_or(element = 'Zn') AS m, bool_or(element = 'C') AS c FROM atoms WHERE atom_idx < 3 GROUP BY 1) SELECT structure_id, CASE WHEN m AND c THEN 'has metal and carbon' WHEN m THEN 'missing carbon' WHEN c THEN 'missing metal' ELSE 'missing metal and carbon' END AS label FROM s")
+@query(f"WITH {WITH}, s AS (SELECT structure_id, bool_or(element = 'Zn') AS m, bool_or(element = 'C') AS c FROM atoms GROUP BY 1) SELECT structure_id, CASE WHEN m AND c THEN 'has metal and carbon' WHEN m THEN 'missing carbon' WHEN c THEN 'missing metal' ELSE 'missing metal and carbon' END AS label FROM s")
 def presence_labels(spark, d):
     """P20, C1."""
     return C.presence(B.atoms(spark, d), E.elements(spark))

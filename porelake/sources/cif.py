@@ -234,8 +234,8 @@ def parse_files(files: DataFrame, expand: bool = True) -> DataFrame:
 
 
 def atoms_of(structures: DataFrame) -> DataFrame:
-    """Atoms as rows, with atom_idx in file order, for structures that were read."""
-    rows = structures.where("error is null").select(F.xxhash64("checksum", "block_idx").alias("structure_id"), "name", "block_idx", "lattice", F.posexplode("atoms").alias("atom_idx", "atom"))
+    """Atoms as rows, with atom_idx in file order, for structures that were read; a file under two paths is two structures."""
+    rows = structures.where("error is null").select(F.xxhash64("path", "checksum", "block_idx").alias("structure_id"), "name", "block_idx", "lattice", F.posexplode("atoms").alias("atom_idx", "atom"))
     return rows.select("structure_id", "name", "block_idx", "atom_idx", "atom.*", "lattice")
 
 
