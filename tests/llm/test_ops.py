@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -243,12 +244,17 @@ def test_extraction_rows(spark):
 # --- 5 and 10 ---
 
 
-def plain_ids(path, text):
+@cache
+def plain_tokenizer(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def plain_ids(path, text):
+    return plain_tokenizer(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
@@ -288,7 +294,7 @@ def test_packing(spark, docs):
             r, part = got[d.doc_id, k // 2048], ids[k : k + 2048]
             assert (r.start, r.length, r.ids_crc32) == (k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
     total = sum(r.length for r in rows)
-    assert check_packing(rows, None) <= 1.01 * -(-total // 2048) + 1
+    assert check_packing(rows, None) <= min(1.01 * -(-total // 2048) + 1, plain_best_fit([r.length for r in rows], 2048))
 
 
 def plain_best_fit(sizes, capacity):
@@ -303,22 +309,51 @@ def plain_best_fit(sizes, capacity):
     return len(rooms)
 
 
-def test_rules_are_best_fit_decreasing():
+def check_rules(rules, sizes, capacity):
+    used = defaultdict(list)
+    for length, low, high, first, per, offset in rules:
+        for k in range(high - low):
+            used[first + k // per].append((offset + k % per * length, length))
+    assert Counter(n for parts in used.values() for _, n in parts) == Counter(sizes)
+    for parts in used.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(used)
+
+
+def test_sweeps_of_ranges_are_best_fit_decreasing():
+    """The supersteps by hand, with any number of ranges: as many sequences as sequential best-fit decreasing."""
     rng = random.Random(2)
-    for _ in range(60):
-        sizes = [rng.randint(1, 50) for _ in range(rng.randint(0, 300))]
-        rules = packing.best_fit(Counter(sizes), 50)
-        used = defaultdict(list)
-        for length, low, high, first, per, offset in rules:
-            for k in range(high - low):
-                used[first + k // per].append((offset + k % per * length, length))
-        assert sum(map(len, used.values())) == len(sizes) and len(used) == plain_best_fit(sizes, 50)
-        for parts in used.values():
-            at = 0
-            for o, n in sorted(parts):
-                assert o == at
-                at += n
-            assert at <= 50
+    for trial in range(80):
+        top = rng.choice((10, 50))
+        sizes = [rng.randint(1, top) for _ in range(rng.randint(0, 300))]
+        docs, gaps, rules, used, parts = [(n, 0, k) for n, k in Counter(sizes).items()], [], [], 0, rng.choice((1, 3, 7))
+        while docs:
+            left, free = [], []
+            for p in range(parts):
+                found = packing.sweep([x for x in docs if (x[0] - 1) * parts // 50 == p], [x for x in gaps if (x[0] - 1) * parts // 50 == p], 50)
+                rules += found[0]
+                left += found[1]
+                free += found[2]
+            more, docs, gaps = packing.sweep(left, free, 50)
+            rules += more
+            if docs:
+                n = packing.opened(docs, 50)
+                gaps.append((50, used, used + n))
+                used += n
+        assert check_rules(rules, sizes, 50) <= plain_best_fit(sizes, 50)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_rules_are_best_fit_decreasing(spark, seed):
+    rng = random.Random(seed)
+    sizes = [min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(700)]
+    rows = packing.best_fit(spark.createDataFrame(list(Counter(sizes).items()), "length long, n long")).collect()
+    assert check_rules([tuple(r) for r in rows], sizes, 2048) <= plain_best_fit(sizes, 2048)
+    assert packing.best_fit(spark.createDataFrame([], "length long, n long")).count() == 0
 
 
 def test_packing_odd_rows(odd, empty):
