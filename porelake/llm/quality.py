@@ -1,9 +1,9 @@
 """Quality rules: counts of a document's own words, and how often its lines occur in other documents of its host.
 
 A line's normal form has A-Z lowered, digits as 0 and single blanks. A line that more than `line_docs` distinct documents
-of one host hold is frequent. Frequent lines go where they are boilerplate: where more than `line_docs` of those documents
-consist of other text for the most part (so the lines that only a group of near copies shares stay). A document that keeps
-less than `least_kept` of its words is depleted and rejected.
+of one host hold is removed from all of them. A document that keeps less than `least_kept` of its words, or fewer than the
+base rules ask for, is depleted and rejected. Documents are told apart by content, so exact copies count once; a group of
+more than line_docs near copies on one host counts as that many documents, as pages of one template do.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from porelake.llm.common import small_batches, staged
 
-#: Documents of a host that may share a line; share of own words of a document that counts; share of words to be kept.
-LINE_DOCS, OWN_SHARE, LEAST_KEPT = 20, 0.5, 0.2
+#: Documents of a host that may share a line; share of words to be kept.
+LINE_DOCS, LEAST_KEPT = 20, 0.2
 #: Base rules: fewest words, largest share of words in repeated three-word windows in per cent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\v\f\r"
@@ -79,33 +79,32 @@ def measured(docs: DataFrame) -> DataFrame:
     return staged(docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(cast(source as string), '') as host", "cast(text as string) as text").mapInArrow(rows, _MEASURED))
 
 
-def removed_words(found: DataFrame, line_docs: int = LINE_DOCS, own_share: float = OWN_SHARE) -> DataFrame:
+def removed_words(found: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
     """measured() -> (host, text_hash, n_removed_words) for the documents that lose lines.
 
-    Documents are told apart by content, so exact copies count once. Lines are made distinct by document before they
-    are counted, and counted partially before the shuffle: a line of very many documents makes no large task. What is
-    joined is written first, so that each side of a join is a plain shuffle, whose hot keys AQE splits.
+    Lines are made distinct by document before they are counted, and counted partially before the shuffle: a line of very
+    many documents makes no large task. What is joined is written first, so that each side of a join is a plain shuffle,
+    whose hot keys AQE splits.
     """
-    lines = found.select("host", "text_hash", "n_words", F.explode("lines").alias("l")).select("host", "text_hash", "n_words", "l.line", "l.words")
-    lines = lines.groupBy("host", "line", "text_hash").agg(F.max("words").alias("words"), F.max("n_words").alias("n_words"))
+    lines = found.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.line", "l.words")
+    lines = lines.groupBy("host", "line", "text_hash").agg(F.max("words").alias("words"))
     often = staged(lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs).select("host", "line"))
-    shared = staged(lines.join(often, ["host", "line"]))
-    owners = shared.groupBy("host", "text_hash").agg(F.sum("words").alias("shared"), F.max("n_words").alias("n_words")).where((F.col("n_words") - F.col("shared")) >= own_share * F.col("n_words"))
-    boilerplate = staged(shared.join(owners.select("host", "text_hash"), ["host", "text_hash"], "left_semi").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs).select("host", "line"))
-    return staged(shared.join(boilerplate, ["host", "line"], "left_semi").groupBy("host", "text_hash").agg(F.sum("words").alias("n_removed_words")))
+    return staged(lines.join(often, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("n_removed_words")))
 
 
-def judged(docs: DataFrame, line_docs: int = LINE_DOCS, own_share: float = OWN_SHARE, least_kept: float = LEAST_KEPT) -> DataFrame:
+def judged(docs: DataFrame, line_docs: int = LINE_DOCS, least_kept: float = LEAST_KEPT) -> DataFrame:
     """(doc_id, host, text_hash, counts, n_removed_words, base_failed, kept): one row for each row of docs.
 
     Null and empty texts have no words and fail; a null source counts as the empty host; repeated rows count once and are
-    judged alike; null ids are no obstacle. An empty table gives no rows. Other columns are not looked at.
+    judged alike; null ids are no obstacle; very long texts are read whole; a line just at the limit stays. An empty table
+    gives no rows. Other columns are not looked at.
     """
     found = measured(docs)
-    gone = removed_words(found, line_docs, own_share)
+    gone = removed_words(found, line_docs)
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     out = found.drop("lines").join(gone, ["host", "text_hash"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
-    kept = ~base & ((F.col("n_words") - F.col("n_removed_words")) >= least_kept * F.col("n_words"))
+    left = F.col("n_words") - F.col("n_removed_words")
+    kept = ~base & (left >= LEAST_WORDS) & (left >= least_kept * F.col("n_words"))
     return out.withColumn("base_failed", base).withColumn("kept", kept)
 
 
@@ -115,7 +114,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns; repeated rows stay or go together, empty tables stay empty."""
     bad = judged(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash")).distinct()
     return without(docs, bad)
 
@@ -147,13 +146,10 @@ rep AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT g.r, unnest
 n AS (SELECT host, text, array_to_string(regexp_extract_all(translate(line, {_LOWER}), '[^\\x20\\x09-\\x0D]+'), ' ') AS normal, n_words, sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) AS words
     FROM l WHERE r IN (SELECT min(r) FROM d GROUP BY host, text) GROUP BY ALL),
 f AS (SELECT host, normal FROM n GROUP BY host, normal HAVING count(*) > {LINE_DOCS}),
-s AS (SELECT n.* FROM n JOIN f ON n.host = f.host AND n.normal = f.normal),
-own AS (SELECT host, text FROM s GROUP BY host, text, n_words HAVING n_words - sum(words) >= {OWN_SHARE} * n_words),
-b AS (SELECT s.host, s.normal FROM s JOIN own ON s.host = own.host AND s.text = own.text GROUP BY s.host, s.normal HAVING count(*) > {LINE_DOCS}),
-gone AS (SELECT s.host, s.text, sum(s.words) AS n_removed_words FROM s JOIN b ON s.host = b.host AND s.normal = b.normal GROUP BY s.host, s.text),
+gone AS (SELECT n.host, n.text, sum(n.words) AS n_removed_words FROM n JOIN f ON n.host = f.host AND n.normal = f.normal GROUP BY n.host, n.text),
 m AS (SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(array_to_string(d.w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(dup.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n_removed_words, 0) AS BIGINT) AS n_removed_words
     FROM d LEFT JOIN dup ON d.r = dup.r LEFT JOIN rep ON d.r = rep.r LEFT JOIN gone ON d.host = gone.host AND d.text = gone.text)
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= {LEAST_KEPT} * n_words AS kept FROM m
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= {LEAST_KEPT} * n_words AND n_words - n_removed_words >= 50 AS kept FROM m
 """

@@ -468,21 +468,26 @@ def test_token_counts(docs, odd, empty, monkeypatch):
 # --- 8 ---
 
 
-def test_boilerplate_goes_and_near_copies_stay(spark):
+def test_boilerplate_goes_and_depleted_documents_are_rejected(spark):
     rng = random.Random(4)
     own = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n))
     notice = "Accept all cookies " + own(200)
     rows = [(k, f"{notice}\n{own(210)}", "h") for k in range(30)]  # boilerplate in mostly other text
     rows.append((100, f"{notice}\n{own(10)}", "h"))  # little but boilerplate
-    base = [own(20) for _ in range(6)]
-    rows += [(200 + k, "\n".join([*base, own(3)]), "h") for k in range(30)]  # near copies
-    rows += [(300 + k, rows[-1][1], "h") for k in range(5)]  # exact copies
+    rows.append((101, f"{notice}\n{own(49)}", "h"))  # too few words are left
+    rows.append((102, f"{notice}\n{own(50)}", "h"))  # less than a fifth, 50 of 253
+    rows.append((103, f"{notice}\n{own(10)}", "another host"))
+    template = "\n".join(own(20) for _ in range(6))
+    rows += [(200 + k, f"{template}\n{own(21)}", "t") for k in range(21)]  # a host of template pages, 15 % own words
+    rows += [(300 + k, f"{template}\n{own(21)}", "u") for k in range(20)]  # just at the limit
+    rows += [(400 + k, rows[-1][1], "u") for k in range(5)]  # exact copies count once
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("line", F.lit(1))
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
-    assert not got[100].kept and not got[100].base_failed and got[100].n_removed_words == 203
-    assert all(got[k].kept for k in range(30)) and all(got[200 + k].kept and not got[200 + k].n_removed_words for k in range(30))
+    rejected = {100, 101, 102, *range(200, 221)}
+    assert not any(r.base_failed for r in got.values()) and {k for k, r in got.items() if not r.kept} == rejected
+    assert got[100].n_removed_words == got[0].n_removed_words == 203 and got[103].n_removed_words == 0 and got[200].n_removed_words == 120
     kept = quality.good_documents(docs)
-    assert kept.columns == docs.columns and 100 not in {r.doc_id for r in kept.collect()} and kept.count() == len(rows) - 1
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(got) - rejected
 
 
 def test_quality_odd_rows(odd, empty):
