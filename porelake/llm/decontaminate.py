@@ -1,14 +1,15 @@
 """Benchmark decontamination: a Wu-Manber search for every window of the benchmark in every document.
 
-The symbols are words. A block of two words ends each window; a shift table says how far the search may move on past a
-block, a zero shift leads to a bucket of test strings by their last block and first word, and a direct comparison of all
-words confirms an occurrence.
+The symbols are words, as numbers from a dictionary of the benchmark's. A block of two words ends each window; a table of
+shifts by the block's hash says how far the search may move on past it, a zero shift leads to the bucket of the test strings
+whose suffix has that hash and which begin with the word at hand, and a direct comparison of all words confirms an occurrence. Tables are numpy arrays over the
+benchmark's words in a row: test strings are places in it. A worker builds them once for each broadcast.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
+import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,8 @@ from porelake.llm.common import small_batches, staged
 
 #: Consecutive words of a window.
 WINDOW = 10
-#: Bytes of benchmark text whose tables one executor holds; a larger benchmark is searched in as many passes as it needs.
+#: Bytes of benchmark text whose tables one worker holds, about twelve times as large; a larger benchmark is searched in as
+#: many passes as it needs.
 TABLE_BYTES = 16 << 20
 
 #: Other bytes than digits, letters and those of non-ASCII characters end a word; A-Z are lower-cased.
@@ -31,69 +33,97 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_WORD_BYTES).split() if text else []
 
 
+#: Odd, so that the numbers of a word times it are spread over the table.
+_MIX = 0x9E3779B1
+
+
 class WuManber:
-    """All windows of one length, each with the items that hold it."""
+    """Windows of one length, which start at `starts` of `stream` (numbers of words from 1 on); items has each one's number."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[str]]) -> None:
+    def __init__(self, length: int, stream: np.ndarray, starts: np.ndarray, items: np.ndarray) -> None:
         self.length, self.block = length, min(2, length)
         self.far = length - self.block + 1
-        self.shift: dict = {}
-        self.buckets: dict = defaultdict(lambda: defaultdict(list))
-        for pattern, items in patterns.items():
-            for end in range(self.block, length + 1):
-                key = self.key(pattern, end)
-                self.shift[key] = min(self.shift.get(key, self.far), length - end)
-            self.buckets[self.key(pattern, length)][pattern[0]].append((list(pattern), items))
-
-    def key(self, seq, end: int):
-        return (seq[end - 2], seq[end - 1]) if self.block == 2 else seq[end - 1]
-
-    def search(self, text: list[bytes]) -> Iterator[tuple[int, list[str]]]:
-        """The start of each occurrence and the items of its window."""
-        m, far, n = self.length, self.far, len(text)
-        shift, buckets = self.shift.get, self.buckets
-        end = m
-        if self.block == 2:
-            while end <= n:
-                key = (text[end - 2], text[end - 1])
-                step = shift(key, far)
-                if step:
-                    end += step
-                    continue
-                for pattern, items in buckets[key].get(text[end - m], ()):
-                    if text[end - m : end] == pattern:
-                        yield end - m, items
-                end += 1
-        else:
-            for at, word in enumerate(text):
-                if word in self.shift:
-                    for _, items in buckets[word][word]:
-                        yield at, items
+        self.bits = max(8, (16 * len(starts)).bit_length())
+        self.shift = np.full(1 << self.bits, min(self.far, 255), np.uint8)
+        for end in range(self.block, length + 1):  # nearer ends come later and are smaller
+            self.shift[self.hashes(stream[starts + end - self.block], stream[starts + end - 1])] = min(length - end, 255)
+        suffix = self.hashes(stream[starts + length - self.block], stream[starts + length - 1])
+        bucket = suffix << 32 | stream[starts].astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.bucket, self.starts, self.items, self.stream = bucket[order], starts[order], items[order], stream
+
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each block in the table; a block of one word is that word twice."""
+        return (a.astype(np.int64) * _MIX ^ b) & ((1 << self.bits) - 1)
+
+    def search(self, text: list[bytes], numbers: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray]]:
+        """The start of each occurrence and the numbers of its window's items; words that are skipped aren't looked up."""
+        m, n, back, far, number = self.length, len(text), self.block - 1, self.far, numbers.get
+        mask, shift, bucket = (1 << self.bits) - 1, memoryview(self.shift), memoryview(self.bucket)
+        end = m - 1
+        while end < n:
+            b = number(text[end])
+            if b is None:  # no block with such a word: the next has it not
+                end += m
+                continue
+            if (a := number(text[end - back])) is None:
+                end += far
+                continue
+            code = (a * _MIX ^ b) & mask
+            if step := shift[code]:
+                end += step
+                continue
+            at = end + 1 - m
+            key = code << 32 | number(text[at], 0)
+            low = bisect_left(bucket, key)
+            if low < len(bucket) and bucket[low] == key:
+                high = bisect_right(bucket, key, low)
+                own = [number(w, 0) for w in text[at : end + 1]]
+                same = (self.stream[self.starts[low:high, None] + np.arange(m)] == own).all(axis=1)
+                if same.any():
+                    yield at, self.items[low:high][same]
+            end += 1
+
+
+class Matcher:
+    """The tables of some items: a dictionary of their words and a WuManber for each length of window that occurs."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
+        self.ids = [item_id for item_id, _ in items]
+        self.numbers: dict[bytes, int] = {}
+        parts = [np.fromiter((self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)), np.int32) for _, text in items]
+        stream = np.concatenate([np.zeros(0, np.int32), *parts])
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        begins, least = np.cumsum(sizes) - sizes, np.minimum(window, sizes)
+        self.searches = []
+        for length in np.unique(least[least > 0]).tolist():
+            own = np.flatnonzero(least == length)
+            counts = sizes[own] - length + 1
+            number = np.repeat(own, counts)
+            starts = np.repeat(begins[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            self.searches.append(WuManber(length, stream, starts, number))
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """Number of words, hit spans [start, end) merged and in order, ids of the items found, sorted; null ids are not listed."""
+        seq = words(text)
+        spans: list[tuple[int, int]] = []
+        found: set[int] = set()
+        for search in self.searches:
+            for at, items in search.search(seq, self.numbers):
+                spans.append((at, at + search.length))
+                found.update(items.tolist())
+        return len(seq), merge(spans), sorted({self.ids[i] for i in found} - {None})
 
 
-def compile_items(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[WuManber]:
-    """A matcher for each length of window that occurs."""
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-    for item_id, text in items:
-        seq = words(text)
-        size = min(window, len(seq))
-        for at in range(len(seq) - size + 1 if seq else 0):
-            ids = by_length[size][tuple(seq[at : at + size])]
-            if item_id is not None and (not ids or ids[-1] != item_id):
-                ids.append(item_id)
-    return [WuManber(size, dict(patterns)) for size, patterns in sorted(by_length.items())]
-
-
-def scan(text: str | None, matchers: list[WuManber]) -> tuple[int, list[tuple[int, int]], list[str]]:
-    """Number of words, hit spans [start, end) merged and in order, ids of the items found, sorted."""
-    seq = words(text)
-    spans: list[tuple[int, int]] = []
-    found: set[str] = set()
-    for matcher in matchers:
-        for at, items in matcher.search(seq):
-            spans.append((at, at + matcher.length))
-            found.update(items)
-    return len(seq), merge(spans), sorted(found)
+#: A worker's tables by the name of their broadcast; the last one only, as passes follow each other.
+_BUILT: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, shared, window: int) -> Matcher:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Matcher(shared.value, window)
+    return _BUILT[name]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -112,14 +142,12 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _pass(docs: DataFrame, items: list[tuple[str | None, str | None]], window: int) -> DataFrame:
     """One search of all documents for the windows of some items."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    built: list[list[WuManber]] = []
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(compile_items(shared.value, window))
         for batch in batches:
-            found = [scan(t.as_py(), built[0]) for t in batch.column(2)]
+            matcher = _matcher(name, shared, window)
+            found = [matcher.scan(t.as_py()) for t in batch.column(2)]
             spans = [[{"start": a, "end": b} for a, b in x[1]] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.int64()), pa.array(spans, _SPAN), pa.array([x[2] for x in found], pa.list_(pa.string()))],
@@ -176,7 +204,11 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with one more column, `_porelake_contaminated`; in a single pass if the benchmark's tables fit one executor."""
+    """docs with one more column, `_porelake_contaminated`: whether any window of the benchmark occurs in the whole text.
+
+    In a single pass if the benchmark's tables fit one worker. Null and empty texts are clean, as is all if the benchmark is
+    empty; repeated rows are flagged alike; ids are not looked at; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("b")).first().b
@@ -192,15 +224,13 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def _flag(docs: DataFrame, shared, window: int) -> DataFrame:
-    names = docs.columns
+    names, name = docs.columns, uuid.uuid4().hex
     text, flag = names.index("text"), names.index("_porelake_contaminated")
-    built: list[list[WuManber]] = []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(compile_items(shared.value, window))
         for batch in batches:
-            hit = [old or bool(scan(t.as_py(), built[0])[1]) for t, old in zip(batch.column(text), batch.column(flag).to_pylist())]
+            matcher = _matcher(name, shared, window)
+            hit = [old or bool(matcher.scan(t.as_py())[1]) for t, old in zip(batch.column(text), batch.column(flag).to_pylist())]
             yield batch.set_column(flag, batch.schema.field(flag), pa.array(hit, pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

@@ -174,11 +174,28 @@ def test_passes_give_what_one_pass_gives(spark, docs):
 def test_wu_manber_against_plain_search():
     rng = random.Random(1)
     for _ in range(300):
-        text = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 40))]
-        m = rng.randint(1, 5)
-        patterns = {tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(m)): ["x"] for _ in range(rng.randint(1, 6))}
-        got = [at for at, _ in decontaminate.WuManber(m, patterns).search(text)]
-        assert got == [i for i in range(len(text) - m + 1) if tuple(text[i : i + m]) in patterns]
+        text = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        items = [(str(i), " ".join(rng.choice("abc") for _ in range(rng.randint(0, 7)))) for i in range(rng.randint(1, 6))] + [(None, "a b c"), ("n", None)]
+        spans, found = set(), set()
+        for i, item in items:
+            seq = (item or "").split()
+            size = min(4, len(seq))
+            for k in range(len(seq) - size + 1 if seq else 0):
+                for at in range(len(text) - size + 1):
+                    if text[at : at + size] == seq[k : k + size]:
+                        spans.update(range(at, at + size))
+                        found.add(i)
+        n, got, ids = decontaminate.Matcher(items, 4).scan(" ".join(text))
+        assert n == len(text) and {p for a, b in got for p in range(a, b)} == spans and ids == sorted(found - {None})
+
+
+def test_tables_are_small():
+    """Bytes of the tables for each byte of benchmark text, dictionary aside."""
+    rng = random.Random(2)
+    items = [(str(i), " ".join(f"w{rng.randrange(5000)}" for _ in range(400))) for i in range(100)]
+    made = decontaminate.Matcher(items)
+    size = sum(x.nbytes for s in made.searches for x in (s.shift, s.bucket, s.starts, s.items)) + made.searches[0].stream.nbytes
+    assert size < 12 * sum(len(t) for _, t in items) and len(made.searches) == 1
 
 
 # --- 3 ---
