@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from porelake.llm.common import shared_dir, small_batches, staged
 
-#: Lines of an index block; directory rows that a lookup broadcasts at once (a larger directory is taken in slices).
-BLOCK_LINES, DIRECTORY_ROWS = 512, 100_000
+#: Lines of an index block; bytes of records that a reading task is given.
+BLOCK_LINES, READ_BYTES = 512, 4 << 20
 #: Payloads of fewer bytes are written in full each time.
 LEAST_REVISIT = 0
 #: The tables have no capture time, so all records carry this one.
@@ -178,30 +178,30 @@ def write_archive(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> Archi
 def lookup(spark: SparkSession, archive: Archive, keys: DataFrame) -> DataFrame:
     """keys (key string) -> (key, file, offset, length): the place of every record that has one of the keys.
 
-    Keys may repeat and may have no record. The directory is bisected on the executors, in slices of at most
-    DIRECTORY_ROWS rows; a key of many records spreads over as many tasks as it has blocks.
+    Keys may repeat and may have no record; null keys and an empty table give no rows. Each index file holds a range of
+    keys, so a key goes to the files whose range has it (a bisection over a row for each file), meets their part of the
+    directory there, and is bisected in it and then in the blocks that are left. A key of many records has several files.
     """
     directory = spark.read.schema(_DIRECTORY).parquet(f"{archive.path}/directory")
-    order = ["first_key", "last_key", "file", "offset"]
-    slices = max(1, -(-directory.count() // DIRECTORY_ROWS))
-    number = F.pmod(F.xxhash64("file", "offset"), F.lit(slices).cast("long"))
     wanted = keys.select("key").where("key is not null").distinct()
     index = f"{archive.path}/index"
-    out = None
-    for k in range(slices):
-        rows = sorted((r.first_key, r.last_key, r.file, r.offset, r.length) for r in directory.where(number == k).select(*order, "length").toLocalIterator())
-        shared = spark.sparkContext.broadcast(rows)
-
-        def places(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            firsts, lasts = [r[0] for r in table], [r[1] for r in table]
-            for batch in batches:
-                got = [(key, *table[i][2:]) for key in batch.column(0).to_pylist() for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))]
-                cols = list(zip(*got)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int32()))], ["key", "file", "offset", "length"])
-
-        one = wanted.mapInArrow(places, "key string, file string, offset long, length int")
-        out = one if out is None else out.unionByName(one)
+    ends = directory.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("first", "last", "file").collect()
+    shared = spark.sparkContext.broadcast(([r["first"] for r in ends], [r["last"] for r in ends], [r["file"] for r in ends]))
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts, names = shared.value
+        for batch in batches:
+            got = [(key, names[i]) for key in batch.column(0).to_pylist() for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.string()) for k in (0, 1)], ["key", "file"])
+
+    def places(own: pa.Table, part: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(part.column(k).to_pylist() for k in ("first_key", "last_key", "offset", "length"))))
+        firsts, lasts = [r[0] for r in rows], [r[1] for r in rows]
+        got = [(key, name, *rows[i][2:]) for key, name in zip(own.column("key").to_pylist(), own.column("file").to_pylist()) for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))]
+        return pa.table([pa.array([x[k] for x in got], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["key", "file", "offset", "length"])
+
+    small_batches(spark)
+    out = wanted.mapInArrow(files, "key string, file string").groupBy("file").cogroup(directory.groupBy("file")).applyInArrow(places, "key string, file string, offset long, length int")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, at, lines, keys_in = _Ranges(index), None, [], []
@@ -222,10 +222,11 @@ def lookup(spark: SparkSession, archive: Archive, keys: DataFrame) -> DataFrame:
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
 
 
-def read_records(archive: Archive, places: DataFrame) -> DataFrame:
+def read_records(archive: Archive, places: DataFrame, payloads: bool = True) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of the records at places (file, offset, length).
 
-    payload is null for a revisit; its length and digest are those of the payload that it refers to.
+    payload is null for a revisit; its length and digest are those of the payload that it refers to. Without payloads they
+    are read and verified, but don't leave the worker. Tasks get ranges of files with about READ_BYTES of records.
     """
     archives = f"{archive.path}/archives"
     number = lambda text: None if text == "<urn:page:null>" else int(text[len("<urn:page:") : -1])
@@ -239,12 +240,14 @@ def read_records(archive: Archive, places: DataFrame) -> DataFrame:
                 revisit = head["WARC-Type"] == "revisit"
                 size = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: ")).split()[1])
                 refers = number(head["WARC-Refers-To"]) if revisit else None
-                got.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], size, head["WARC-Payload-Digest"][5:], head["WARC-Type"], refers, None if revisit else payload.decode()))
+                got.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], size, head["WARC-Payload-Digest"][5:], head["WARC-Type"], refers, None if revisit or not payloads else payload.decode()))
             cols = list(zip(*got)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]).select(names)
 
+    names = [c.split()[0] for c in _READ.split(", ")][: 7 if payloads else 6]
+    n = 1 + int(places.agg(F.sum("length")).first()[0] or 0) // READ_BYTES
     small_batches(places.sparkSession)
-    return places.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(rows, _READ)
+    return places.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(rows, ", ".join(_READ.split(", ")[: len(names)]))
 
 
 def keys_of(pages: DataFrame) -> DataFrame:
@@ -258,10 +261,15 @@ def keys_of(pages: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """Archives pages, looks all their keys up in the index and reads the records back; the digest has no payloads."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): archives pages, looks all their keys up in the index and reads the records back.
+
+    Null html is the empty payload, null urls have a key of their own; repeated rows are records of their own, and equal ids
+    with the largest one all responses; null ids lose to any other. Payloads of any length are written whole. An empty table
+    gives no rows; other columns are not looked at.
+    """
     archive = write_archive(pages, least_revisit)
     found = staged(lookup(pages.sparkSession, archive, keys_of(pages)))
-    return read_records(archive, found).drop("payload", "url")
+    return read_records(archive, found, payloads=False).drop("url")
 
 
 ORACLE = """
