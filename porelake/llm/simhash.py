@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from porelake.llm.common import runs, small_batches, staged
 from porelake.llm.graph import Forest, components
 
-#: Words of a shingle, differing bits of a link, blocks that must agree, fingerprints in one tree.
-SHINGLE, RADIUS, SPARE, TREE_SIZE = 4, 4, 2, 4096
+#: Words of a shingle, differing bits of a link, fingerprints in one tree.
+SHINGLE, RADIUS, TREE_SIZE = 4, 4, 4096
+#: Fewest blocks that must agree, and fingerprints that a shard would have if all were spread evenly.
+SPARE, SHARD = 2, 64
 SEED, BITS = 42, 64
 _SUM_ROWS = 60_000
 
@@ -152,8 +154,17 @@ def shard_keys(fp: Column, radius: int, spare: int) -> Column:
     return F.array(*keys)
 
 
-def links(codes: DataFrame, radius: int = RADIUS, spare: int = SPARE, tree_size: int = TREE_SIZE) -> DataFrame:
-    """codes (fp long, distinct) -> (a, b): links that connect just the fingerprints that links within the radius connect."""
+def spare_for(n: int, radius: int) -> int:
+    """The fewest blocks that keep shards of n fingerprints at SHARD or fewer, were they spread evenly: keys grow with n."""
+    return next(k for k in range(SPARE, BITS - radius) if n >> (BITS * k // (radius + k)) <= SHARD or k == 6)
+
+
+def links(codes: DataFrame, radius: int = RADIUS, spare: int | None = None, tree_size: int = TREE_SIZE) -> DataFrame:
+    """codes (fp long, distinct, written) -> (a, b): links that connect just the fingerprints that links within the radius connect.
+
+    spare is how many blocks make a key; by default as many as the number of fingerprints asks for. Any gives all links.
+    """
+    spare = spare or spare_for(codes.count(), radius)
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
@@ -188,7 +199,7 @@ def links(codes: DataFrame, radius: int = RADIUS, spare: int = SPARE, tree_size:
     return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(groups, "a long, b long")
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, spare: int, tree_size: int) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, spare: int | None, tree_size: int) -> DataFrame:
     """(doc_id, text_hash, fp, first): first is the (no_id, doc_id, text_hash) of the component's first row, by id, nulls last, then text hash."""
     fps = staged(fingerprints(docs, id_col, text_col, shingle))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
@@ -202,7 +213,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
     return fps.join(named, "fp")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, spare: int = SPARE, tree_size: int = TREE_SIZE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, spare: int | None = None, tree_size: int = TREE_SIZE) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of docs, whatever other columns docs has.
 
     component_id is the smallest doc_id reachable over links of at most `radius` differing bits. A null or wordless text has
@@ -224,7 +235,7 @@ def only_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return kept.drop("_porelake_text_hash")
 
 
-def first_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, spare: int = SPARE, tree_size: int = TREE_SIZE) -> DataFrame:
+def first_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, spare: int | None = None, tree_size: int = TREE_SIZE) -> DataFrame:
     """The rows of docs with all their columns, one for each component: that of the smallest doc_id, nulls last, ties by text.
 
     Of repeated rows of that one id and text, one stays.
