@@ -170,7 +170,7 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> BiGRU:
     """Fits a network on text and lang of labelled documents that aren't held out, about docs_per_lang a language.
 
     Two reads: languages are counted (an aggregate), then about as many documents of each as the bound allows are drawn by a
-    hash of their id, and only windows of them, spaced evenly over the whole text, reach the driver. At most MAX_LANGS
+    hash of their id and text, so that an id that many rows share, or none, is no obstacle, and only distinct windows of them, spaced evenly over the whole text, reach the driver. At most MAX_LANGS
     languages, the most frequent, are learned. No labelled text: a network that knows no language.
     """
     spark = docs.sparkSession
@@ -181,7 +181,7 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> BiGRU:
         return BiGRU.fresh([])
     langs = sorted(r["lang"] for r in counts)
     share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, docs_per_lang / r["count"])))))
-    drawn = rows.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)).alias("u")).where(F.col("u") < share[F.col("lang")])
+    drawn = rows.select("lang", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)).alias("u")).where(F.col("u") < share[F.col("lang")])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> BiGRU:
                     lang.append(name), part.append(data[at : at + WINDOW]), place.append(u + at)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(part, pa.binary()), pa.array(place, pa.float64())], ["lang", "part", "place"])
 
-    got = sorted((r.lang, r.place, bytes(r.part)) for r in drawn.mapInArrow(windows, "lang string, part binary, place double").collect())
+    got = sorted((r.lang, r.place, bytes(r.part)) for r in drawn.mapInArrow(windows, "lang string, part binary, place double").distinct().collect())
     x = np.full((len(got), WINDOW), PAD, np.int16)
     for i, (_, _, part) in enumerate(got):
         x[i, : len(part)] = np.frombuffer(part, np.uint8)
@@ -237,5 +237,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language can be told; those answered `und` go."""
+    """The rows of docs whose language can be told; those answered `und` go: null texts and texts without a letter.
+
+    A learned language is an answer however low its score: the network knows no other languages that it could reject.
+    Repeated rows stay or go together; very long texts are read whole; an empty table stays empty.
+    """
     return predict(docs, learn(docs), ("_porelake_lang", "_porelake_score")).where(F.col("_porelake_lang") != UNKNOWN).drop("_porelake_lang", "_porelake_score")
