@@ -30,7 +30,7 @@ DIGEST = 16
 #: Ids that the rolling hash sees; a cut falls where its top CUT_BITS bits are zero, between LEAST and MOST ids apart.
 REACH, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
 #: Words that a writing worker remembers, and bytes of text that it encodes at once.
-CACHE_WORDS, BATCH_CHARS = 1_000_000, 12 << 20
+CACHE_WORDS, BATCH_CHARS = 500_000, 12 << 20
 #: Ids that are hashed at once.
 BLOCK = 1 << 15
 #: A reading worker reads ranges of so many bytes and remembers so many of them, and so many open packs.
@@ -297,6 +297,11 @@ def with_starts(read: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Writes docs to a store and reports each document as read back: doc_id, start, n_tokens, ids_crc32."""
+    """(doc_id, start, n_tokens, ids_crc32): writes docs to a store and reports each document as read back.
+
+    Null and empty texts are the end id alone; strings of special tokens in a text are ordinary text, as the vocabulary's
+    README has it (encode_special_tokens). Null ids come first; rows that share an id keep the order of reading, repeated
+    rows too; texts of any length are stored whole. An empty table gives no rows; other columns are not looked at.
+    """
     store = write_store(docs, tokenizer_path)
     return with_starts(staged(read_store(docs.sparkSession, store, crc_only=True))).select("doc_id", "start", "n_tokens", "ids_crc32")
