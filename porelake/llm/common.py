@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes handed to a Python worker at once; long texts make batches of fewer rows.
 BATCH_ROWS = 512
 
-#: Bytes of sources for each file that few_files() allows, and the number from which on it leaves partitions alone.
-FILE_BYTES, MOST_FEW = 4 << 20, 10_000
+#: Bytes of sources for each file that few_files() allows.
+FILE_BYTES = 4 << 20
 
 #: By application, the folders made in the shared folder.
 _MADE: dict[str, list[str]] = {}
@@ -23,11 +23,13 @@ _MADE: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path below spark.checkpoint.dir, which the cluster names and every executor sees.
 
-    A path without a scheme is the default file system's. Only where that setting is absent (tests on one machine) a
-    temporary folder takes its place.
+    A path without a scheme is the default file system's. Where that setting is absent a temporary folder takes its place on
+    one machine (a local master), and on a cluster, whose executors wouldn't see it, there is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them see")
         base = getattr(spark, "_porelake_shared", None)
         if not base:
             base = spark._porelake_shared = "file://" + tempfile.mkdtemp(prefix="porelake-")
@@ -56,13 +58,11 @@ def small_batches(spark: SparkSession) -> None:
 def few_files(df: DataFrame) -> DataFrame:
     """df in no more partitions than its sources fill files of FILE_BYTES, and eight for each core at least.
 
-    Small tables in very many partitions would be as many tiny files, each with its own calls to the file system; the
-    partitions of large ones are left alone.
+    Small tables in very many partitions would be as many tiny files, each with its own calls to the file system.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    n = max(8 * df.sparkSession.sparkContext.defaultParallelism, size // FILE_BYTES)
-    return df.coalesce(n) if n < MOST_FEW else df
+    return df.coalesce(max(8 * df.sparkSession.sparkContext.defaultParallelism, min(size // FILE_BYTES, (1 << 31) - 1)))
 
 
 def staged(df: DataFrame, by_task: bool = False) -> DataFrame:
@@ -73,7 +73,17 @@ def staged(df: DataFrame, by_task: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     (df if by_task else few_files(df)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._porelake_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that staged() wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        _MADE[spark.sparkContext.applicationId].remove(df._porelake_path)
+        remove(spark, df._porelake_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

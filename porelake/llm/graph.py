@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from porelake.llm.common import staged
+from porelake.llm.common import discard, staged
 
 #: Vertices that one task's local contraction holds before it hands on what it has.
 LOCAL_VERTICES = 200_000
@@ -71,12 +71,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = _mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        lows = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+        large = both.join(lows, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = staged(large)
         low = staged(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        edges = staged(small)
+        old, edges = edges, staged(small)
+        discard(old, lows, large, low)
         after = _mark(edges)
         if after == before:
             break

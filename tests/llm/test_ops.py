@@ -91,8 +91,12 @@ def test_simhash_against_all_pairs(spark, docs):
     assert {r.doc_id: r.component_id for r in rows} == plain_components(codes, 4)
 
 
-@pytest.mark.parametrize("tree_size", [7, 4096])
-def test_links_connect_what_brute_force_connects(spark, tree_size):
+def test_keys_grow_with_the_number_of_fingerprints():
+    assert [simhash.spare_for(n, 4) for n in (0, 10**6, 10**8, 10**9, 10**11, 10**13)] == [2, 2, 2, 3, 4, 6]
+
+
+@pytest.mark.parametrize("tree_size, spare", [(7, None), (4096, None), (4096, 3), (7, 4)])
+def test_links_connect_what_brute_force_connects(spark, tree_size, spare):
     rng = random.Random(3)
     codes = set()
     for _ in range(40):
@@ -104,7 +108,7 @@ def test_links_connect_what_brute_force_connects(spark, tree_size):
             codes.add(code)
     signed = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
     df = spark.createDataFrame(signed, "fp long")
-    got = simhash.links(df, tree_size=tree_size).collect()
+    got = simhash.links(df, tree_size=tree_size, spare=spare).collect()
     forest = graph.Forest()
     for a, b in got:
         assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
@@ -235,6 +239,8 @@ def test_language_odd_rows(odd, empty):
     assert langid.identify(empty).count() == 0
     kept = langid.known_language(odd)
     assert kept.columns == odd.columns and {r.lang_pred for r in kept.collect()} == {"kept"}
+    shared = odd.sparkSession.createDataFrame([(None if i % 2 else 7, f"{'the words of this one' if i % 3 else 'les mots de celui'} {i}", "en" if i % 3 else "fr") for i in range(4000)], "doc_id long, text string, lang string")
+    assert set(langid.learn(shared).langs) == {"en", "fr"}  # ids that half of the rows share, or that are missing
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
 
@@ -388,6 +394,8 @@ def test_store_round_trip(spark, odd, empty, docs):
     index = spark.read.parquet(f"{made.path}/index")
     assert index.count() == index.select("digest").distinct().count()
     rows = store.round_trip(some, BYTE).orderBy(F.col("doc_id").asc_nulls_first(), "start").collect()
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == Counter((k, len(v), crc(v)) for k, v in want.elements())
     at = 0
     for r in rows:
         assert r.start == at
@@ -457,29 +465,33 @@ def test_records_are_standard_members():
 
 def plain_count(scores, word):
     text = tokencount.MARK + word
+    unknown = min(scores.values()) - 10
     best = [(0.0, 0)]
     for end in range(1, len(text) + 1):
         n = len(text[end - 1].encode())
-        found = [(best[end - 1][0] + n * tokencount.BYTE_SCORE, -(best[end - 1][1] + n))]
-        found += [(best[a][0] + scores[text[a:end]], -(best[a][1] + 1)) for a in range(end) if text[a:end] in scores]
-        s, t = max(found)
-        best.append((s, -t))
-    return best[-1][1]
+        found = [] if text[end - 1] in scores else [(best[end - 1][0] + unknown, best[end - 1][1] - n)]
+        found += [(best[a][0] + scores[text[a:end]], best[a][1] - 1) for a in range(max(0, end - 99), end) if text[a:end] in scores]  # no piece is as long
+        best.append(max(found))
+    return -best[-1][1]
+
+
+@pytest.mark.parametrize("shared", [300, 400_000])
+def test_token_counts(docs, odd, empty, shared):
+    scores = tokencount.unigram_scores(PIECE)
+    some = docs.where("doc_id < 60").select("doc_id", "text").unionByName(odd.where("doc_id is null or doc_id != 5").select("doc_id", "text"))
+    rows = tokencount.count_tokens(some.withColumn("word", F.lit(1)), PIECE, shared).collect()
+    known = cache(lambda w: plain_count(scores, w))
+    want = Counter((d.doc_id, len((d.text or "").split()), sum(map(known, (d.text or "").split()))) for d in some.collect())
+    assert Counter(map(tuple, rows)) == want
+    assert tokencount.count_tokens(empty, PIECE, shared).count() == 0
 
 
-def test_token_counts(docs, odd, empty, monkeypatch):
+def test_scores_are_shared_by_prefixes():
     scores = tokencount.unigram_scores(PIECE)
-    got = {r.doc_id: r for r in tokencount.count_tokens(docs.where("doc_id < 40"), PIECE).collect()}
-    for d in docs.where("doc_id < 40").collect():
-        words = d.text.split()
-        assert got[d.doc_id].n_words == len(words) and got[d.doc_id].n_tokens == sum(plain_count(scores, w) for w in words)
-    rows = tokencount.count_tokens(odd, PIECE).collect()
-    assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {0}
-    assert tokencount.count_tokens(empty, PIECE).count() == 0
-    monkeypatch.setattr(tokencount, "MOST_NODES", 50)
     trie = tokencount.ForwardTrie(scores)
-    for w in ["hello", "help", "日本", "x" * 400, "helping", ""]:
-        assert trie.count([w]) == plain_count(scores, w)
+    for w in ["hello", "help", "helping", "hello", "日本", "日本語", "x" * 400, "", "x" * 401]:
+        assert trie.count(tokencount.MARK + w) == plain_count(scores, w)
+    assert {len(trie.best), len(trie.tokens)} == {403}
 
 
 # --- 8 ---
@@ -590,13 +602,20 @@ def test_licence_plan_is_native(spark, docs):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_a_large_directory_is_taken_in_slices(spark, monkeypatch):
+def test_keys_are_found_in_all_index_files(spark):
     pages = spark.createDataFrame([(k, f"http://h{k % 5}.org/{k % 9}", f"<p>{k}") for k in range(200)], "page_id long, url string, html string").repartition(3)
-    made = warc.write_archive(pages)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = warc.write_archive(pages)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     keys = warc.keys_of(pages)
-    whole = sorted(map(tuple, warc.lookup(spark, made, keys).collect()))
-    monkeypatch.setattr(warc, "DIRECTORY_ROWS", 1)
-    assert sorted(map(tuple, warc.lookup(spark, made, keys).collect())) == whole and len(whole) == 200
+    whole = warc.lookup(spark, made, keys).collect()
+    assert spark.read.parquet(f"{made.path}/directory").select("file").distinct().count() > 1
+    assert len({(r.file, r.offset) for r in whole}) == len(whole) == 200 and {r.key for r in whole} == {r.key for r in keys.collect()}
+    assert warc.lookup(spark, made, keys.limit(0)).count() == 0
+    found = warc.read_records(made, warc.lookup(spark, made, keys))
+    assert found.where("payload like '<p>%'").count() == 200 and "payload" not in warc.read_records(made, keys.selectExpr("'' as file", "0L as offset", "0 as length").limit(0), payloads=False).columns
 
 
 def test_made_folders_can_be_removed(spark, docs):

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from porelake.llm import decontaminate, quality, simhash
+from porelake.llm import decontaminate, quality, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,8 +36,13 @@ def test_quality_stage(steps):
 
 
 def test_dedup_stage(steps):
-    comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(steps[2]).collect()}
-    assert rows(steps[3]) == sorted(tuple(r) for r in steps[2].collect() if comp[r.doc_id] == r.doc_id)
+    """Stages take five words and a similarity of 0.8 or more; the four words and four bits are op1's."""
+    first = {r.doc_id: r["first"].doc_id for r in similar.grouped(steps[2]).collect()}
+    assert rows(steps[3]) == sorted(tuple(r) for r in steps[2].collect() if first[r.doc_id] == r.doc_id)
+
+
+def test_language_stage(steps):
+    assert rows(steps[1]) == sorted(tuple(r) for r in steps[0].collect() if any(c.isalpha() for c in r.text or ""))
 
 
 def test_decontamination_stage(spark, steps):
