@@ -13,6 +13,7 @@ bounds are exact integers.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -135,7 +136,7 @@ def _listed(words: list[str]) -> Column:
 
 
 def matches(docs: DataFrame, templates=TEMPLATES + WHOLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, text_hash, kind, part, unit, template, spdx, score): what matches a template, repeated rows once.
+    """(doc_id, text_hash, kind, part, unit, template, spdx, score): what matches a template; repeated rows come back as often.
 
     A paragraph in which a line matches isn't matched itself. score is the unit's Dice coefficient, or for kind `text` that of the template's best run (the first of equal ones), unless
     it overlaps the best run of another template with a higher score (then a longer one, then an earlier template). The templates
@@ -145,14 +146,14 @@ def matches(docs: DataFrame, templates=TEMPLATES + WHOLE, threshold: int = THRES
     rows = _template_rows(templates, threshold)
     table = spark.createDataFrame(rows, "template int, spdx string, bigrams array<string>, low int, high int, run int, anchors array<string>")
     starts = sorted({a for r in rows for a in r[6]})
-    by_anchor = spark.createDataFrame([(a, r[0]) for r in rows for a in r[6]], "bigram string, template int")
+    by_anchor = F.from_json(F.lit(json.dumps({a: [r[0] for r in rows if a in r[6]] for a in starts})), "map<string,array<int>>")  # constant
     # a unit's words follow each other in the text, so an anchor of a unit is one of its text
     words = F.split("text", "[^a-z0-9]+")
     texts = lowered(docs).withColumn("words", words).where((F.size("words") > 1) & F.arrays_overlap("words", _listed(anchor_words(starts))))
     texts = staged(texts.where(F.arrays_overlap(_bigrams(F.col("words")), _listed(starts))).drop("words"))  # few, and read by each kind of unit
     near = units(texts).where(F.size("words") > 1).select("doc_id", "text_hash", "kind", "part", "unit", _bigrams(F.col("words")).alias("own"))
-    begun = near.withColumn("bigram", F.explode(F.array_intersect("own", _listed(starts))))  # distinct
-    met = begun.join(F.broadcast(by_anchor), "bigram").drop("bigram").dropDuplicates(["doc_id", "text_hash", "kind", "part", "unit", "template"]).join(F.broadcast(table), "template")
+    candidates = F.array_distinct(F.flatten(F.transform(F.array_intersect("own", _listed(starts)), lambda a: F.element_at(by_anchor, a))))
+    met = near.withColumn("template", F.explode(candidates)).join(F.broadcast(table), "template")
     dice = lambda own: F.lit(2.0) * F.size(F.array_intersect(own, "bigrams")) / (F.size(F.array_distinct(own)) + F.size("bigrams"))
     enough = lambda own: 200 * F.size(F.array_intersect(own, "bigrams")) >= threshold * (F.size(F.array_distinct(own)) + F.size("bigrams"))
     keys = ["doc_id", "text_hash", "kind", "part", "unit", "template", "spdx"]
