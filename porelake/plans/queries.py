@@ -15,6 +15,7 @@ from porelake.operators import inference as I
 from porelake.operators import neighbours as N
 from porelake.operators import oxidation as O
 from porelake.plans import bindings as B
+from porelake.sources import cif as CIF
 from porelake.sources import files as FI
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -620,6 +621,122 @@ def pore_reports(spark, d):
     return rows.select("p_partkey", diameters[0], diameters[1], FI.channel_dimension(F.col("ch")).alias("dimension"), FI.report_value(F.col("sa"), "ASA_A^2").alias("asa"))
 
 
+# --- structure files: texts made of the driver's tables are parsed again (S4, S5, S9, S15, S17) ---
+
+_HEAD = ["_cell_angle_alpha 90", "_cell_angle_beta 90", "_cell_angle_gamma 90", "loop_", "_atom_site_label", "_atom_site_type_symbol", "_atom_site_fract_x", "_atom_site_fract_y", "_atom_site_fract_z"]
+
+
+def crystal_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): a CIF text for each two structures, a block for each."""
+    site = F.format_string("%s%d %s %.12f %.12f %.12f", "element", "atom_idx", "element", "fx", "fy", "fz")
+    by = B.atoms(spark, d).groupBy("structure_id", "a").agg(F.array_sort(F.collect_list(F.struct("atom_idx", site.alias("line")))).alias("sites"))
+    sizes = [F.format_string(f"_cell_length_{k} %.6f", "a") for k in "abc"]
+    block = F.concat_ws("\n", F.concat(F.lit("data_s"), F.col("structure_id").cast("string")), *sizes, *map(F.lit, _HEAD), F.transform("sites", lambda s: s["line"]))
+    blocks = by.select(F.floor(F.col("structure_id") / 2).alias("file"), F.struct("structure_id", block.alias("text")).alias("block"))
+    files = blocks.groupBy("file").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    return files.select(F.concat(F.lit("/cifs/f"), F.col("file").cast("string"), F.lit(".cif")).alias("path"), F.concat_ws("\n", F.transform("blocks", lambda b: b["text"])).alias("content"))
+
+
+@query(f"""WITH {WITH} SELECT 'f' || CAST(structure_id // 2 AS VARCHAR) AS name, CAST(dense_rank() OVER (PARTITION BY structure_id // 2 ORDER BY structure_id) - 1 AS INTEGER) AS block_idx, CAST(atom_idx AS INTEGER) AS atom_idx, element || CAST(atom_idx AS VARCHAR) AS label, element, round(fx, 6) AS fx, round(fy, 6) AS fy, round(fz, 6) AS fz, a AS cell_length FROM atoms""")
+def parsed_structures(spark, d):
+    """Files of two blocks, read back atom by atom."""
+    out = CIF.atoms_of(CIF.parse_files(crystal_files(spark, d)))
+    return out.select("name", "block_idx", "atom_idx", "label", "element", *(F.round(f"f{k}", 6).alias(f"f{k}") for k in "xyz"), F.round(F.col("lattice")[0][0], 6).alias("cell_length"))
+
+
+@query(f"""WITH {WITH}, k AS (SELECT structure_id, bool_or(element = 'Zn') AS m, bool_or(element = 'C') AS c FROM atoms GROUP BY 1), n AS (SELECT *, count(*) OVER (PARTITION BY structure_id // 2) AS n, row_number() OVER (PARTITION BY structure_id // 2 ORDER BY structure_id) AS i FROM k)
+SELECT 'f' || CAST(structure_id // 2 AS VARCHAR) AS name, CAST(n AS INTEGER) AS n_structures, 'f' || CAST(structure_id // 2 AS VARCHAR) || CASE WHEN n > 1 THEN '_' || CAST(i AS VARCHAR) ELSE '' END AS block, CASE WHEN m AND c THEN 'has metal and carbon' WHEN m THEN 'missing carbon' WHEN c THEN 'missing metal' ELSE 'missing metal and carbon' END AS label FROM n""")
+def prechecked_files(spark, d):
+    """Presence labels of each block of each file."""
+    out = CIF.precheck(CIF.parse_files(crystal_files(spark, d)))
+    return out.select("name", "n_structures", F.explode("labels").alias("block", "label"))
+
+
+@query("""SELECT 'i' || CAST(l_orderkey AS VARCHAR) AS path, 'mmol/g' AS loading_unit, CAST(count(*) AS BIGINT) AS n_points, CAST(sum(l_linenumber) AS DOUBLE) AS pressure, round(sum(l_quantity), 4) AS uptake FROM lineitem GROUP BY l_orderkey""")
+def parsed_isotherms(spark, d):
+    """AIF texts, a block and its loop of points each."""
+    line = F.format_string("%d %.4f", "l_linenumber", "l_quantity")
+    by = B.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("points"))
+    head = ["data_iso", "_units_loading mmol/g", "loop_", "_adsorp_pressure", "_adsorp_amount"]
+    files = by.select(F.concat(F.lit("i"), F.col("l_orderkey").cast("string")).alias("path"), F.concat_ws("\n", *map(F.lit, head), "points").alias("content"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    out = CIF.read_isotherms(files)
+    return out.select("path", "loading_unit", F.size("pressure").cast("long").alias("n_points"), total("pressure_value").alias("pressure"), F.round(total("uptake_value"), 4).alias("uptake"))
+
+
+_LINES = "SELECT l_orderkey AS path, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS INT) AS line_no, CAST(l_quantity AS INT) AS q, CAST(l_linenumber AS INT) AS n FROM lineitem"
+
+
+@query(f"""WITH l AS ({_LINES.replace("AS INT)", "AS INTEGER)")}) SELECT path, line_no, CASE WHEN q % 3 = 0 THEN 'H' ELSE 'C' END || CAST(row_number() OVER (PARTITION BY path ORDER BY line_no) AS VARCHAR) AS label, CASE WHEN q % 3 = 0 THEN 'H' ELSE 'C.ar' END AS type, CAST(q AS DOUBLE) AS x, CAST(n AS DOUBLE) AS y, CAST(q + n AS DOUBLE) AS z FROM l""")
+def connection_points(spark, d):
+    """MOL2 atom records, connection points as hydrogen."""
+    q, n, free = F.col("q"), F.col("n"), F.col("q") % 3 == 0
+    word = lambda c: c.cast("string")
+    value = F.concat_ws(" ", word(F.col("line_no") + 1), F.when(free, "Du").otherwise("C"), word(q), word(n), word(q + n), F.when(free, "Du").otherwise("C.ar"), F.lit("1 RES1 0.0"), F.when(free, "*"))
+    return FI.connection_points(B.bound(spark, d, _LINES).select("path", "line_no", value.alias("value")))
+
+
+@query(f"""WITH l AS ({_LINES.replace("AS INT)", "AS INTEGER)")}), m AS (SELECT *, max(line_no) OVER (PARTITION BY path) AS last FROM l) SELECT path, line_no, CAST(q AS DOUBLE) AS frequency FROM m WHERE line_no >= 3 AND line_no < last""")
+def vibrational_frequencies(spark, d):
+    """S17."""
+    value = F.concat_ws(" ", F.lit("mode"), F.col("line_no").cast("string"), F.col("q").cast("string"))
+    return FI.vibrational_frequencies(B.bound(spark, d, _LINES).select("path", "line_no", value.alias("value")))
+
+
+# --- the checker's labels, node names, and the whole oxidation check (C9, N21, M4-M9, C10, N17-N19, A22) ---
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE coalesce(nullif(concat_ws(',', CASE WHEN p_size % 2 = 0 THEN 'has_atomic_overlaps' END, CASE WHEN p_size % 3 = 0 THEN 'has_carbon' END, CASE WHEN p_size % 5 = 0 THEN 'is_porous' END), ''), 'good') END AS label FROM part""")
+def external_checks(spark, d):
+    """Names of the bad ones among the external checker's booleans."""
+    size = F.col("p_size")
+    given = F.create_map(F.lit("has_atomic_overlaps"), size % 2 == 0, F.lit("has_carbon"), size % 3 != 0, F.lit("is_porous"), size % 5 != 0)
+    return B.table(spark, d, "part").select("p_partkey", N.checker_labels(F.when(F.col("p_partkey") % 7 != 0, given)).alias("label"))
+
+
+@query("""WITH n AS (SELECT CAST(p_partkey AS BIGINT) AS id, p_brand AS formula, CAST(p_size AS INTEGER) AS size FROM part), f AS (SELECT formula, size, min(id) AS first FROM n GROUP BY 1, 2),
+t AS (SELECT formula, size, CASE WHEN size <= 5 THEN size ELSE 5 + row_number() OVER (PARTITION BY formula, size <= 5 ORDER BY first) END AS k FROM f)
+SELECT id AS structure_id, CAST(0 AS BIGINT) AS node_id, n.formula || '_Type-' || CAST(k AS VARCHAR) AS name FROM n JOIN t ON t.formula = n.formula AND t.size = n.size""")
+def registered_nodes(spark, d):
+    """Nodes by formula and distances; five types of each formula are known."""
+    part = B.table(spark, d, "part")
+    nodes = part.select(F.col("p_partkey").cast("long").alias("structure_id"), F.lit(0).cast("long").alias("node_id"), F.col("p_brand").alias("formula"), F.array(F.col("p_size").cast("double"), F.lit(1.0)).alias("distances"))
+    known = part.select(F.col("p_brand").alias("formula")).distinct().withColumn("type_k", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return CL.register_nodes(nodes, known.withColumn("distances", F.array(F.lit(1.0), F.col("type_k").cast("double"))))
+
+
+#: A zinc complex for each order, or two if its key is even; each line is a ligand: hydroxide, water, formate across both zincs, or (beside one zinc) a free oxide.
+_LIGANDS = """SELECT sid, n, 10 * n AS o, CASE WHEN sid % 2 = 0 AND n % 2 = 1 THEN 1 ELSE 0 END AS m, CAST(sid % 2 = 0 AS INT) AS two, CASE WHEN kind = 3 AND sid % 2 = 0 THEN 1 ELSE kind END AS kind
+    FROM (SELECT l_orderkey AS sid, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INT) AS n, CAST(l_quantity AS INT) % 4 AS kind FROM lineitem) v"""
+_ZINC = O.ElementStates(chances=[0.0, 0.01, 0.99, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], energies=[9.394, 17.964, 39.723], known=[0, 1, 2])
+
+
+@query(f"""WITH l AS ({_LIGANDS}), m AS (SELECT sid, unnest(CASE WHEN sid % 2 = 0 THEN [0, 1] ELSE [0] END) AS atom FROM (SELECT DISTINCT sid FROM l)),
+e AS (SELECT sid, m AS atom, kind = 0 AS charged, 1.0 AS share FROM l WHERE kind IN (0, 1) UNION ALL SELECT sid, unnest([0, two]), true, 0.5 FROM l WHERE kind = 2),
+i AS (SELECT m.sid, m.atom, coalesce(sum(CASE WHEN charged THEN share END), 0) AS charge, count(e.sid) AS cn FROM m LEFT JOIN e ON e.sid = m.sid AND e.atom = m.atom GROUP BY 1, 2),
+j AS (SELECT sid, bool_or(kind = 2) AS joined, 2 * count(*) FILTER (kind = 3) AS free FROM l GROUP BY 1),
+s AS (SELECT i.*, joined, free, CASE WHEN joined THEN 0 ELSE atom END AS network, CASE WHEN joined THEN avg(charge) OVER (PARTITION BY i.sid) ELSE charge END AS spread FROM i JOIN j ON j.sid = i.sid),
+f AS (SELECT *, spread + free AS state FROM s), g AS (SELECT *, state % 1 <= 0.0001 AND state NOT IN (1, 2) AS unlikely FROM f)
+SELECT sid AS structure_id, CAST(atom AS INTEGER) AS atom_idx, 'Zn' AS metal, CAST(charge AS DOUBLE) AS "inner", CAST(cn AS DOUBLE) AS cn, CAST(network AS INTEGER) AS network, CAST(spread AS DOUBLE) AS network_state, CAST(state AS DOUBLE) AS state, CASE WHEN state > {E.valence_electrons("Zn")} THEN 'BAD' ELSE 'GOOD' END AS impossible, CASE WHEN state > 2.5 THEN 'BAD' ELSE 'GOOD' END AS "unknown", CASE WHEN state = 0 THEN 'BAD' ELSE 'GOOD' END AS zero_valence,
+'GOOD' AS noint_flag, CASE WHEN unlikely THEN 'LIKELY_BAD' ELSE 'GOOD' END AS low_prob_1, CASE WHEN unlikely THEN 'BAD' ELSE 'GOOD' END AS low_prob_2, CASE WHEN unlikely THEN 'BAD' ELSE 'GOOD' END AS low_prob_3, 'GOOD' AS low_prob_multi FROM g""")
+def oxidation_check(spark, d):
+    """States and flags of zinc complexes; carbenes (M4) and mixed metals are in the tests."""
+    ligands = B.bound(spark, d, _LIGANDS)
+    atom = lambda c, element: f"struct(CAST({c} AS INT) AS atom_idx, '{element}' AS element)"
+    bond = lambda i, j, kind="Single": f"struct(CAST({i} AS INT) AS i, CAST({j} AS INT) AS j, '{kind}' AS bond_type)"
+    oxygen, formate = atom("o", "O"), f"array({atom('o', 'O')}, {atom('o + 1', 'C')}, {atom('o + 2', 'O')}, {atom('o + 3', 'H')})"
+    nodes = ligands.selectExpr("sid AS structure_id", f"inline(CASE kind WHEN 0 THEN array({oxygen}, {atom('o + 1', 'H')}) WHEN 1 THEN array({oxygen}, {atom('o + 1', 'H')}, {atom('o + 2', 'H')}) WHEN 2 THEN {formate} ELSE array({oxygen}) END)")
+    metals = ligands.select("sid", "two").distinct().selectExpr("sid AS structure_id", "explode(sequence(0, two)) AS atom_idx", "'Zn' AS element")
+    carboxylate = f"array({bond('0', 'o')}, {bond('two', 'o + 2')}, {bond('o', 'o + 1', O.DELOCALISED)}, {bond('o + 1', 'o + 2', O.DELOCALISED)}, {bond('o + 1', 'o + 3')})"
+    edges = ligands.selectExpr("sid AS structure_id", f"inline(CASE kind WHEN 0 THEN array({bond('m', 'o')}, {bond('o', 'o + 1')}) WHEN 1 THEN array({bond('m', 'o')}, {bond('o', 'o + 1')}, {bond('o', 'o + 2')}) WHEN 2 THEN {carboxylate} END)")
+    # positions in a structure's list of atoms, without gaps
+    atoms = nodes.unionByName(metals).withColumn("place", (F.row_number().over(Window.partitionBy("structure_id").orderBy("atom_idx")) - 1).cast("int"))
+    ends = lambda c: atoms.select("structure_id", F.col("atom_idx").alias(c), F.col("place").alias(f"p_{c}"))
+    bonds = edges.join(ends("i"), ["structure_id", "i"]).join(ends("j"), ["structure_id", "j"]).select("structure_id", F.col("p_i").alias("i"), F.col("p_j").alias("j"), "bond_type", F.lit(False).alias("is_conjugated"), F.lit(False).alias("is_cyclic"))
+    zero = F.lit(0.0)
+    return O.metal_states(atoms.select("structure_id", F.col("place").alias("atom_idx"), "element", zero.alias("x"), zero.alias("y"), zero.alias("z")), bonds, {"Zn": _ZINC})
+
+
 # --- grouped operators: rows are checked by the tests against brute force ---
 
 
@@ -641,7 +758,21 @@ def metal_site_analysis(spark, d):
     return N.analyse_metals(B.atoms(spark, d))
 
 
-@query()
+def _shells(n: int) -> str:
+    """CTEs s0, ... sn: the (atom, image) nodes of each shell around each atom, less those of the shell itself and the one before."""
+    out = ["s0 AS (SELECT structure_id, atom_idx AS c, atom_idx AS i, 0 AS u, 0 AS v, 0 AS w FROM atoms)"]
+    for k in range(n):
+        gone = f"EXCEPT SELECT * FROM s{k}" + (f" EXCEPT SELECT * FROM s{k - 1}" if k else "")
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT DISTINCT s.structure_id, c, j AS i, u - su AS u, v - sv AS v, w - sw AS w FROM s{k} s JOIN steps t ON t.structure_id = s.structure_id AND t.i = s.i {gone})")
+    return ", ".join(out)
+
+
+_STEP = ", ".join(f"CAST(round_even(a.f{k} - b.f{k}, 0) AS INTEGER) AS s{n}" for k, n in zip("xyz", "uvw"))
+_SIZES = ", ',', ".join(f"(SELECT count(*) FROM s{k} s WHERE s.structure_id = a.structure_id AND s.c = a.atom_idx)" for k in range(1, 7))
+
+
+@query(f"""WITH {WITH}, {PAIRS}, {SITE_BONDS}, steps AS MATERIALIZED (SELECT p.structure_id, p.i, p.j, {_STEP} FROM site_bonds p JOIN atoms a ON a.structure_id = p.structure_id AND a.atom_idx = p.i JOIN atoms b ON b.structure_id = p.structure_id AND b.atom_idx = p.j UNION ALL SELECT structure_id, atom_idx, atom_idx, 0, 0, 0 FROM atoms), {_shells(6)}
+SELECT a.structure_id, CAST(a.atom_idx AS INTEGER) AS atom_idx, a.element, concat({_SIZES}) AS shells FROM atoms a""")
 def coordination_sequences(spark, d):
     """N10."""
     return N.coordination_sequences(B.atoms(spark, d))
