@@ -74,9 +74,14 @@ def decide_by_charge(clusters: DataFrame, threshold: float = ION_CHARGE) -> Data
     return rows.withColumn("decision", F.when(keep, "framework").when(F.abs("charge") > threshold, "ion").otherwise("solvent")).drop("rank", "largest")
 
 
-def _bonded(cell: np.ndarray, frac: np.ndarray, symbols: list[str], skin: float, dist: np.ndarray | None = None) -> list[list[int]]:
-    dist = crystal.distances(cell, frac) if dist is None else dist
-    return crystal.neighbours(dist, np.array([E.cleaning_radii()[s] for s in symbols]), 2 * skin)
+def _bonded(cell: np.ndarray, frac: np.ndarray, symbols: list[str], skin: float) -> list[list[int]]:
+    return crystal.near_lists(cell, frac, np.array([E.cleaning_radii()[s] for s in symbols]), 2 * skin)
+
+
+def _among(near: list[list[int]], kept: list[int]) -> list[list[int]]:
+    """The bonds between kept atoms, by their places in that list."""
+    place = {i: k for k, i in enumerate(kept)}
+    return [sorted(place[j] for j in near[i] if j in place) for i in kept]
 
 
 def _by_size(parts: list[list[int]], reverse_ties: bool) -> list[list[int]]:
@@ -99,31 +104,31 @@ def _split(parts: list[list[int]], symbols: list[str], ions: frozenset[str]) ->
     return main, found_ions, solvents
 
 
-def free_pass(cell: np.ndarray, frac: np.ndarray, symbols: list[str], skin: float, ions: frozenset[str], dist: np.ndarray) -> tuple[list[int], bool, list[str]]:
+def free_pass(near: list[list[int]], symbols: list[str], ions: frozenset[str]) -> tuple[list[int], bool, list[str]]:
     """Atoms kept when free solvent goes (framework, then ions), whether there are ions, and the solvents."""
-    main, found, solvents = _split(crystal.components(_bonded(cell, frac, symbols, skin, dist)), symbols, ions)
+    main, found, solvents = _split(crystal.components(near), symbols, ions)
     return [i for part in main + found for i in part], bool(found), solvents
 
 
-def all_pass(cell: np.ndarray, frac: np.ndarray, symbols: list[str], skin: float, ions: frozenset[str], dist: np.ndarray) -> tuple[list[int], bool, list[str]]:
+def all_pass(near: list[list[int]], symbols: list[str], ions: frozenset[str]) -> tuple[list[int], bool, list[str]]:
     """As free_pass, and then coordinated solvent goes too: metal-oxygen bonds are cut where that frees something."""
-    parts = crystal.components(_bonded(cell, frac, symbols, skin, dist))
+    parts = crystal.components(near)
     main, found, solvents = _split(parts, symbols, ions)
     kept_parts = [p for p in _by_size(parts, True) if p in main or p in found]
     kept = [i for part in kept_parts for i in part]
     own_symbols = [symbols[i] for i in kept]
-    near = _bonded(cell, frac[kept], own_symbols, skin, dist[np.ix_(kept, kept)])
-    metals = {i: near[i] for i, s in enumerate(own_symbols) if E.is_cleaning_metal(s)}
-    cut = crystal.cut_metal_oxygen([set(x) for x in near], own_symbols, metals)
+    own = _among(near, kept)
+    metals = {i: own[i] for i, s in enumerate(own_symbols) if E.is_cleaning_metal(s)}
+    cut = crystal.cut_metal_oxygen([set(x) for x in own], own_symbols, metals)
     main, found2, more = _split(crystal.components(cut), own_symbols, ions)
     order = [p for p in _by_size(main + found2, False)]
     return [kept[i] for part in order for i in part], bool(found or found2), [*solvents, *(x for x in more if x not in solvents)]
 
 
-def charge_pass(cell: np.ndarray, frac: np.ndarray, symbols: list[str], charges: list[float | None], skin: float, dist: np.ndarray) -> tuple[list[int], list[str], list[str], list[float]]:
+def charge_pass(near: list[list[int]], symbols: list[str], charges: list[float | None]) -> tuple[list[int], list[str], list[str], list[float]]:
     """Atoms kept (framework, ions), solvents, ion formulas and their charges, by the charge rule."""
     main, ions, solvents, formulas, sums = [], [], [], [], []
-    for part in _by_size(crystal.components(_bonded(cell, frac, symbols, skin, dist)), False):
+    for part in _by_size(crystal.components(near), False):
         formula, charge = formula_of(symbols[i] for i in part), sum(c for i in part if (c := charges[i]) is not None)
         if not main or len(part) > 0.5 * len(main[0]):
             main.append(part)
@@ -151,22 +156,21 @@ def clean(atoms: DataFrame, skin: float = SKIN, ions: frozenset[str] = E.IONS, b
         for kind in ("FSR", "ASR"):
             try:
                 cell, frac, symbols = arrays(rows)
-                dist = crystal.distances(cell, frac)
                 charges = [None if c is None or c != c else float(c) for c in rows.sort_values("atom_idx")["charge"]] if "charge" in rows else [None] * len(symbols)
-                now, last = skin, False
+                now = skin
                 while True:
+                    near = _bonded(cell, frac, symbols, now)
                     if by_charge:
-                        kept, solvents, names, sums = charge_pass(cell, frac, symbols, charges, now, dist)
+                        kept, solvents, names, sums = charge_pass(near, symbols, charges)
                         suffix = f"_{kind}{'_ION' if names else ''}"
                     else:
-                        kept, has_ions, solvents = (free_pass if kind == "FSR" else all_pass)(cell, frac, symbols, now, ions, dist)
+                        kept, has_ions, solvents = (free_pass if kind == "FSR" else all_pass)(near, symbols, ions)
                         names, sums, suffix = [], [], f"{'_ION' if has_ions else ''}_{kind}"
                     metallic = sum(any(E.is_cleaning_metal(t) for t in tokens_of(f)) for f in solvents)
                     if not metallic:
                         break
-                    if last:
+                    if all(len(x) == len(symbols) - 1 for x in near):
                         raise ValueError(f"a metal is left in {','.join(solvents)}")
-                    last = 2 * now > float(dist.max())
                     now = round(now + SKIN_STEP * (1 if by_charge else metallic), 10)
                 out.append((sid, kind, now, suffix, kept, ",".join(solvents) or "none", ",".join(names) or "none", sums, None))
             except Exception as e:  # noqa: BLE001  one bad structure must not end the job
@@ -190,17 +194,16 @@ def unwrap_fragments(atoms: DataFrame, factor: float = 1.4, margin: float = 2.0)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         cell, frac, symbols = arrays(rows)
-        vectors, dist = crystal.image_vectors(cell, frac, frac)
         radii = np.array([E.cleaning_radii()[s] for s in symbols]) * factor
         place = frac @ cell
-        near = dist < radii[:, None] + radii[None, :]
         seen, todo = {0}, [0]
         while todo:
             i = todo.pop()
-            for j in np.flatnonzero(near[i]).tolist():
+            vectors, dist = (x[0] for x in crystal.image_vectors(cell, frac[[i]], frac))
+            for j in np.flatnonzero(dist < radii[i] + radii).tolist():
                 if j not in seen:
                     seen.add(j)
-                    place[j] = place[i] + vectors[i, j]
+                    place[j] = place[i] + vectors[j]
                     todo.append(j)
         box = float((place.max(axis=0) - place.min(axis=0)).max()) + margin
         place = place - place.mean(axis=0) + box / 2

@@ -63,6 +63,29 @@ def neighbours(dist: np.ndarray, radii: np.ndarray, extra: float) -> list[list[i
     return [np.flatnonzero(row).tolist() for row in near]
 
 
+def near_lists(cell: np.ndarray, frac: np.ndarray, radii: np.ndarray, extra: float | None = None) -> list[list[int]]:
+    """For each atom the others closer than the sum of radii and extra, or by default the tolerance of coordination spheres.
+
+    Distances are held for a block of atoms at a time, so memory grows with the atoms and their bonds, not with pairs.
+    """
+    n, out = len(frac), []
+    heavy = radii > E.HEAVY_RADIUS
+    step = max(1, 200_000 // max(1, n))
+    for at in range(0, n, step):
+        rows = slice(at, at + step)
+        slack = extra if extra is not None else np.where(heavy[rows, None] | heavy[None, :], E.HEAVY_TOLERANCE, E.TOLERANCE)
+        near = image_vectors(cell, frac[rows], frac)[1] < radii[rows, None] + radii[None, :] + slack
+        for k, row in enumerate(near):
+            row[at + k] = False
+            out.append(np.flatnonzero(row).tolist())
+    return out
+
+
+def spheres(cell: np.ndarray, frac: np.ndarray, symbols: list[str]) -> list[list[int]]:
+    """For each atom the atoms of its coordination sphere, as site_bonds() has them, without a matrix of distances."""
+    return near_lists(cell, frac, np.array([E.site_radii()[s] for s in symbols]))
+
+
 def components(adjacent: list[list[int]] | list[set[int]]) -> list[list[int]]:
     """Connected components, each in order of index, in order of the smallest index."""
     seen, out = [False] * len(adjacent), []

@@ -178,7 +178,7 @@ def coordination_sequences(atoms: DataFrame, shells: int = crystal.SHELLS) -> Da
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         cell, frac, symbols = arrays(rows)
-        spheres = crystal.site_bonds(crystal.distances(cell, frac), symbols)
+        spheres = crystal.spheres(cell, frac, symbols)
         sizes = [",".join(map(str, crystal.coordination_sequence(i, spheres, frac, shells))) for i in range(len(symbols))]
         return pd.DataFrame({"structure_id": rows["structure_id"].iloc[0], "atom_idx": range(len(symbols)), "element": symbols, "shells": sizes})
 
@@ -195,7 +195,7 @@ def analyse_metals(atoms: DataFrame) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         cell, frac, symbols = arrays(rows)
         metals = [i for i, s in enumerate(symbols) if E.is_site_metal(s)]
-        spheres = crystal.site_bonds(crystal.distances(cell, frac), symbols)
+        spheres = crystal.spheres(cell, frac, symbols)
         out, kinds = [], set()
         for i in metals:
             site = crystal.metal_site(cell, frac, symbols, i, spheres[i])
