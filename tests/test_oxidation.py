@@ -69,3 +69,14 @@ def test_grouped_states(spark):
     bonds = spark.createDataFrame([(7, 0, 1, "Single", False, False), (7, 1, 2, "Single", False, False)], "structure_id long, i int, j int, bond_type string, is_conjugated boolean, is_cyclic boolean")
     row = O.metal_states(atoms, bonds, TABLE).collect()
     assert len(row) == 1 and row[0].inner == 1.0 and row[0].state == pytest.approx(1.0)
+
+
+def test_three_bonded_and_two_bonded_carbon():
+    arms = {(0, 1): "Single", (0, 2): "Single", (0, 3): "Single"}
+    flat = [(0, 0, 0), (1, 0, 0), (-0.5, 3**0.5 / 2, 0), (-0.5, -(3**0.5) / 2, 0)]
+    assert molecule(["C", "H", "H", "H"], arms, flat).contributions()[0] == -1.0  # a carbocation
+    corners = [(0, 0, 0), (1, 1, 1), (1, -1, -1), (-1, 1, -1)]
+    assert molecule(["C", "H", "H", "H"], arms, corners).contributions()[0] == 1.0  # a carbanion
+    two = {(0, 1): "Single", (0, 2): "Single"}
+    assert molecule(["C", "H", "H"], two).contributions()[0] == 2.0  # a triplet carbene
+    assert molecule(["C", "N", "H"], two).contributions()[0] == 0.0  # a singlet one, beside nitrogen
