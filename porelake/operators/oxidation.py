@@ -453,7 +453,10 @@ def metal_states(atoms: DataFrame, bonds: DataFrame, states: dict[str, ElementSt
         found = molecule.metal_states(states)
         return pd.DataFrame([{"structure_id": nodes["structure_id"].iloc[0], **x} for x in found], columns=[c.split()[0] for c in _STATES.split(", ")])
 
-    return atoms.groupBy("structure_id").cogroup(bonds.groupBy("structure_id")).applyInPandas(run, _STATES)
+    # a number of partitions is given, as few bytes would be coalesced into one task though each structure costs much
+    n = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes, edges = (x.repartition(n, "structure_id").groupBy("structure_id") for x in (atoms, bonds))
+    return nodes.cogroup(edges).applyInPandas(run, _STATES)
 
 
 def element_states(known: DataFrame, chances: DataFrame, energies: DataFrame) -> dict[str, ElementStates]:
