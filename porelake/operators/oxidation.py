@@ -7,12 +7,14 @@ Bond types, rings and conjugation come with the input (mol_bonds); the element d
 from __future__ import annotations
 
 import itertools
+import marshal
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from porelake.functions import elements as E
@@ -23,6 +25,8 @@ ORDERS = {"Single": 1.0, "Double": 2.0, "Triple": 3.0, "Quadruple": 4.0}
 DELOCALISED = "Delocalised"
 #: Rows that an input table of element states may have.
 MOST_ELEMENTS = 200
+#: Bytes of molecules that a task remembers the states of.
+MEMORY_BYTES = 16 << 20
 #: Least chance (per cent) of a probable next state; stand-in energies for states that are negative and beyond the known.
 PROBABLE, FREE, FORBIDDEN = 1.0, 0.0, 9999.0
 HETERO_CENTRES = frozenset(("C", "Si", "Ge", "Pb"))
@@ -354,7 +358,7 @@ class Molecule:
             if self.metal[site] or not any(self.metal[j] for j in self.near[site]):
                 continue
             aromatic = "Aromatic" in self.kinds(site)
-            steps = self._steps(site)
+            steps = self._near_steps(site)
             part, todo = {site}, [site]
             while todo:
                 at = todo.pop(0)
@@ -367,29 +371,33 @@ class Molecule:
                     else:
                         kind, conjugated, _ = self.bonds[(at, j) if (at, j) in self.bonds else (j, at)]
                         reach = "Aromatic" not in kinds and (
-                            steps.get(j, math.inf) <= 2 or kind == DELOCALISED or conjugated or (kind == "Single" and contributions[j] != 0) or not kinds & {"Single", "Aromatic", DELOCALISED}
+                            j in steps or kind == DELOCALISED or conjugated or (kind == "Single" and contributions[j] != 0) or not kinds & {"Single", "Aromatic", DELOCALISED}
                         )
                     if reach:
                         part.add(j)
                         todo.append(j)
             out[site] = part
         sites = list(out)
-        linked = [[k for k, other in enumerate(sites) if k != n and out[site] & out[other]] for n, site in enumerate(sites)]
+        holders: dict[int, list[int]] = defaultdict(list)
+        for n, site in enumerate(sites):
+            for atom in out[site]:
+                holders[atom].append(n)
+        linked: list[set[int]] = [set() for _ in sites]
+        for of in holders.values():
+            for a, b in zip(of, of[1:]):
+                linked[a].add(b)
+                linked[b].add(a)
         for group in crystal.components(linked):
+            if len(group) == 1:
+                continue
             union = set().union(*(out[sites[k]] for k in group))
             for k in group:
                 out[sites[k]] = union
         return out
 
-    def _steps(self, start: int) -> dict[int, int]:
-        found, todo = {start: 0}, [start]
-        while todo:
-            at = todo.pop(0)
-            for j in self.near[at]:
-                if j not in found:
-                    found[j] = found[at] + 1
-                    todo.append(j)
-        return found
+    def _near_steps(self, start: int) -> set[int]:
+        """What is at most two bonds from start, over metals too."""
+        return {start, *self.near[start], *(j for i in self.near[start] for j in self.near[i])}
 
     def hapto(self, ligand: int, metal: int) -> bool:
         """Whether some neighbour of the ligand that isn't a metal binds the same metal."""
@@ -440,23 +448,62 @@ class Molecule:
 _STATES = "structure_id long, atom_idx int, metal string, inner double, cn double, network int, network_state double, state double, impossible string, unknown string, zero_valence string, noint_flag string, low_prob_1 string, low_prob_2 string, low_prob_3 string, low_prob_multi string"
 
 
+def _slices(lists: pa.ListArray) -> tuple[list[int], list[pa.Array]]:
+    """Where each row's list begins and ends, and the fields of all lists' structs one after the other."""
+    cuts = lists.offsets.to_numpy()
+    return (cuts - cuts[0]).tolist(), lists.flatten().flatten()
+
+
 def metal_states(atoms: DataFrame, bonds: DataFrame, states: dict[str, ElementStates]) -> DataFrame:
     """Oxidation states and flags of every metal. atoms (structure_id, atom_idx, element, x, y, z); bonds (structure_id, i, j, bond_type, is_conjugated, is_cyclic).
 
-    The work of one structure is sequential, so it is one group; structures without metals give no rows. states is a table of
-    about a hundred elements and goes to each task.
+    i and j are atom_idx, which may have gaps. The work of one structure is sequential, so a structure is one row of lists,
+    and many structures go to Python at once; a task works out equal molecules once. Structures without metals give no
+    rows. states is a table of about a hundred elements and goes to each task.
     """
-
-    def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("atom_idx")
-        molecule = Molecule(nodes["element"].tolist(), nodes[["x", "y", "z"]].to_numpy(float), {tuple(sorted((int(e.i), int(e.j)))): (e.bond_type, bool(e.is_conjugated), bool(e.is_cyclic)) for e in edges.itertuples()})
-        found = molecule.metal_states(states)
-        return pd.DataFrame([{"structure_id": nodes["structure_id"].iloc[0], **x} for x in found], columns=[c.split()[0] for c in _STATES.split(", ")])
-
+    columns = [c.split() for c in _STATES.split(", ")]
+    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(name, arrow[kind]) for name, kind in columns])
+    names = [name for name, _ in columns[1:]]
+
+    def found(idx: list[int], symbols: list[str], places: np.ndarray, edges: list[tuple]) -> list[tuple]:
+        at = {x: k for k, x in enumerate(idx)}
+        linked = {tuple(sorted((at[i], at[j]))): (kind, bool(conjugated), bool(cyclic)) for i, j, kind, conjugated, cyclic in edges}
+        made = Molecule(symbols, places, linked).metal_states(states)
+        return [tuple(x[name] for name in names) for x in ({**x, "atom_idx": idx[x["atom_idx"]]} for x in made)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[tuple]] = {}
+        held = 0
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            cuts, fields = _slices(batch.column(1))
+            idx, symbols = fields[0].to_pylist(), fields[1].to_pylist()
+            places = np.column_stack([f.to_numpy(zero_copy_only=False).astype(float) for f in fields[2:]])
+            ends, of_bonds = _slices(batch.column(2))
+            edges = list(zip(*(f.to_pylist() for f in of_bonds)))
+            for n, structure in enumerate(ids):
+                a, b = cuts[n], cuts[n + 1]
+                molecule = idx[a:b], symbols[a:b], places[a:b], edges[ends[n] : ends[n + 1]]
+                # version 2 has no references, so equal molecules are equal bytes
+                key = marshal.dumps((*molecule[:2], molecule[2].tobytes(), molecule[3]), 2)
+                if (rows := known.get(key)) is None:
+                    rows = found(*molecule)
+                    if held > MEMORY_BYTES:
+                        known.clear()
+                        held = 0
+                    known[key] = rows
+                    held += len(key) + 500 * (len(rows) + 1)
+                out.extend((structure, *r) for r in rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(schema), schema)], schema=schema)
+
+    atom = F.struct(F.col("atom_idx").cast("int"), F.col("element").cast("string"), *(F.col(c).cast("double") for c in "xyz"))
+    bond = F.struct(F.col("i").cast("int"), F.col("j").cast("int"), F.col("bond_type").cast("string"), "is_conjugated", "is_cyclic")
+    parts = atoms.select(F.col("structure_id").cast("long"), atom.alias("atom")).unionByName(bonds.select(F.col("structure_id").cast("long"), bond.alias("bond")), allowMissingColumns=True)
     # a number of partitions is given, as few bytes would be coalesced into one task though each structure costs much
     n = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes, edges = (x.repartition(n, "structure_id").groupBy("structure_id") for x in (atoms, bonds))
-    return nodes.cogroup(edges).applyInPandas(run, _STATES)
+    lists = parts.repartition(n, "structure_id").groupBy("structure_id").agg(F.sort_array(F.collect_list("atom")).alias("atoms"), F.sort_array(F.collect_list("bond")).alias("bonds"))
+    return lists.where(F.size("atoms") > 0).mapInArrow(run, _STATES)
 
 
 def element_states(known: DataFrame, chances: DataFrame, energies: DataFrame) -> dict[str, ElementStates]:

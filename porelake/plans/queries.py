@@ -729,12 +729,9 @@ def oxidation_check(spark, d):
     metals = ligands.select("sid", "two").distinct().selectExpr("sid AS structure_id", "explode(sequence(0, two)) AS atom_idx", "'Zn' AS element")
     carboxylate = f"array({bond('0', 'o')}, {bond('two', 'o + 2')}, {bond('o', 'o + 1', O.DELOCALISED)}, {bond('o + 1', 'o + 2', O.DELOCALISED)}, {bond('o + 1', 'o + 3')})"
     edges = ligands.selectExpr("sid AS structure_id", f"inline(CASE kind WHEN 0 THEN array({bond('m', 'o')}, {bond('o', 'o + 1')}) WHEN 1 THEN array({bond('m', 'o')}, {bond('o', 'o + 1')}, {bond('o', 'o + 2')}) WHEN 2 THEN {carboxylate} END)")
-    # positions in a structure's list of atoms, without gaps
-    atoms = nodes.unionByName(metals).withColumn("place", (F.row_number().over(Window.partitionBy("structure_id").orderBy("atom_idx")) - 1).cast("int"))
-    ends = lambda c: atoms.select("structure_id", F.col("atom_idx").alias(c), F.col("place").alias(f"p_{c}"))
-    bonds = edges.join(ends("i"), ["structure_id", "i"]).join(ends("j"), ["structure_id", "j"]).select("structure_id", F.col("p_i").alias("i"), F.col("p_j").alias("j"), "bond_type", F.lit(False).alias("is_conjugated"), F.lit(False).alias("is_cyclic"))
+    bonds = edges.withColumns({"is_conjugated": F.lit(False), "is_cyclic": F.lit(False)})
     zero = F.lit(0.0)
-    return O.metal_states(atoms.select("structure_id", F.col("place").alias("atom_idx"), "element", zero.alias("x"), zero.alias("y"), zero.alias("z")), bonds, {"Zn": _ZINC})
+    return O.metal_states(nodes.unionByName(metals).withColumns({"x": zero, "y": zero, "z": zero}), bonds, {"Zn": _ZINC})
 
 
 # --- grouped operators: rows are checked by the tests against brute force ---

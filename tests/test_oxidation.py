@@ -80,3 +80,33 @@ def test_three_bonded_and_two_bonded_carbon():
     two = {(0, 1): "Single", (0, 2): "Single"}
     assert molecule(["C", "H", "H"], two).contributions()[0] == 2.0  # a triplet carbene
     assert molecule(["C", "N", "H"], two).contributions()[0] == 0.0  # a singlet one, beside nitrogen
+
+
+def test_states_of_many_structures(spark):
+    """Structures go to Python many at once, atom_idx may have gaps, and equal molecules of other ids and places keep their own rows."""
+    hydroxide = [("Zn", "O", "H"), [(0, 1, "Single"), (1, 2, "Single")]]
+    formate = [("Zn", "O", "C", "O", "Zn", "H"), [(0, 1, "Single"), (2, 1, O.DELOCALISED), (2, 3, O.DELOCALISED), (3, 4, "Single"), (2, 5, "Single")]]
+    ions = [("Zn", "O", "Fe"), []]
+    given = {n: (hydroxide, formate, ions)[n % 3] for n in range(300)}
+    atoms, bonds, wanted = [], [], []
+    for n, (symbols, edges) in given.items():
+        step = 1 + n % 2 * 4
+        atoms += [(n, k * step, s, float(n // 3 % 2), 0.0, 0.0) for k, s in enumerate(symbols)]
+        bonds += [(n, i * step, j * step, kind, False, None) for i, j, kind in edges]
+        states = molecule(list(symbols), {(min(i, j), max(i, j)): kind for i, j, kind in edges}).metal_states(TABLE)
+        wanted += [(n, x["atom_idx"] * step, x["metal"], x["inner"], x["network"], x["state"], x["zero_valence"]) for x in states]
+    atoms = spark.createDataFrame(atoms + [(None, 3, "Zn", 0.0, 0.0, 0.0), (400, 1, "O", 0.0, 0.0, 0.0)], "structure_id long, atom_idx int, element string, x double, y double, z double")
+    bonds = spark.createDataFrame(bonds, "structure_id long, i int, j int, bond_type string, is_conjugated boolean, is_cyclic boolean")
+    out = O.metal_states(atoms, bonds, TABLE)
+    assert "CoGroups" not in out._jdf.queryExecution().toString()
+    got = out.select("structure_id", "atom_idx", "metal", "inner", "network", "state", "zero_valence").collect()
+    assert sorted(tuple(r) for r in got if r.structure_id is not None) == sorted(wanted)
+    assert [r.atom_idx for r in got if r.structure_id is None] == [3]
+
+
+def test_domains_meet_over_shared_atoms():
+    # zincs on both ends of a conjugated chain, and one on a water apart from it
+    single, double = ("Single", True, False), ("Double", True, False)
+    m = molecule(["Zn", "O", "C", "C", "C", "O", "Zn", "Zn", "O"], {(0, 1): "Single", (1, 2): single, (2, 3): double, (3, 4): single, (4, 5): double, (5, 6): "Single", (7, 8): "Single"})
+    domains = m.domains(m.contributions())
+    assert domains[1] == domains[5] == {1, 2, 3, 4, 5} and domains[8] == {8}
