@@ -35,8 +35,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     n = len(words) - shingle + 1
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(shingle))))), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(shingle))))), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 of none."""
+    n, ones = len(hashes), np.zeros(BITS, np.int64)
     for at in range(0, n, _SUM_ROWS):
         part = np.unpackbits(hashes[at : at + _SUM_ROWS].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS)
         ones += np.add.reduce(part, axis=0, dtype=np.uint16)
@@ -83,12 +87,12 @@ class BKTree:
         self.children.append({})
         return near
 
-    def uniform(self, label: list[int]) -> list[int]:
-        """For each node the label that all of its subtree has, or -1."""
+    def uniform(self, label: list[int], mixed: int | None = -1) -> list[int | None]:
+        """For each node the label that all of its subtree has, or `mixed`, which is no label."""
         same = list(label)
         for i in range(len(same) - 1, 0, -1):
             if same[i] != same[p := self.parent[i]]:
-                same[p] = -1
+                same[p] = mixed
         return same
 
     def search(self, code: int, skip) -> Iterator[int]:
