@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,12 @@ FILE_BYTES = 4 << 20
 #: By application, the folders made in the shared folder.
 _MADE: dict[str, list[str]] = {}
 
+#: In a Python worker: what operators keep from task to task, by operator, and the operator that ran last.
+KEPT: dict[str, dict] = {}
+_LAST = [""]
+
+Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path below spark.checkpoint.dir, which the cluster names and every executor sees.
@@ -55,6 +63,34 @@ def small_batches(spark: SparkSession) -> None:
         pass
 
 
+def let_go(owner: str) -> None:
+    """Empties what other operators than owner keep in this worker and gives the memory that is free back to the system.
+
+    Workers outlive a stage, so tables of one would stay beside those of the next, and once more in each idle worker.
+    """
+    for name, tables in KEPT.items():
+        if name != owner:
+            tables.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def owned(owner: str, rows: Rows) -> Rows:
+    """rows, for mapInArrow, as tasks of an operator: the first one in a worker after another operator's lets go of that one's tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _LAST[0] != owner:
+            let_go(owner)
+            _LAST[0] = owner
+        yield from rows(batches)
+
+    return run
+
+
 def few_files(df: DataFrame) -> DataFrame:
     """df in no more partitions than its sources fill files of FILE_BYTES, and eight for each core at least.
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from porelake.llm.common import small_batches, staged
+from porelake.llm.common import KEPT, owned, small_batches, staged
 
 #: Consecutive words of a window.
 WINDOW = 10
@@ -116,7 +116,7 @@ class Matcher:
 
 
 #: A worker's tables by the name of their broadcast; the last one only, as passes follow each other.
-_BUILT: dict[str, Matcher] = {}
+_BUILT: dict[str, Matcher] = KEPT.setdefault("decontaminate", {})
 
 
 def _matcher(name: str, shared, window: int) -> Matcher:
@@ -154,7 +154,7 @@ def _pass(docs: DataFrame, items: list[tuple[str | None, str | None]], window: i
                 ["doc_id", "text_hash", "n_words", "spans", "items"],
             )
 
-    return docs.mapInArrow(rows, _FOUND)
+    return docs.mapInArrow(owned("decontaminate", rows), _FOUND)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -233,7 +233,7 @@ def _flag(docs: DataFrame, shared, window: int) -> DataFrame:
             hit = [old or bool(matcher.scan(t.as_py())[1]) for t, old in zip(batch.column(text), batch.column(flag).to_pylist())]
             yield batch.set_column(flag, batch.schema.field(flag), pa.array(hit, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(owned("decontaminate", rows), docs.schema)
 
 
 #: DuckDB: windows as strings, found by equality with the documents' runs of as many words.

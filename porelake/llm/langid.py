@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from porelake.llm.common import small_batches
+from porelake.llm.common import owned, small_batches
 
 #: Bytes of a window; hidden units a direction; windows that run side by side.
 WINDOW, HIDDEN, LANES = 96, 8, 4096
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> BiGRU:
                     lang.append(name), part.append(data[at : at + WINDOW]), place.append(u + at)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(part, pa.binary()), pa.array(place, pa.float64())], ["lang", "part", "place"])
 
-    got = sorted((r.lang, r.place, bytes(r.part)) for r in drawn.mapInArrow(windows, "lang string, part binary, place double").distinct().collect())
+    got = sorted((r.lang, r.place, bytes(r.part)) for r in drawn.mapInArrow(owned("langid", windows), "lang string, part binary, place double").distinct().collect())
     x = np.full((len(got), WINDOW), PAD, np.int16)
     for i, (_, _, part) in enumerate(got):
         x[i, : len(part)] = np.frombuffer(part, np.uint8)
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: BiGRU, names: tuple[str, str] = ("lang_pred"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(rows, f"{schema}{', ' * bool(schema)}{names[0]} string, {names[1]} double")
+    return docs.mapInArrow(owned("langid", rows), f"{schema}{', ' * bool(schema)}{names[0]} string, {names[1]} double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

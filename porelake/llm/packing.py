@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from porelake.llm.common import gathered, small_batches, staged
+from porelake.llm.common import gathered, owned, small_batches, staged
 from porelake.llm.tokens import BATCH_CHARS, encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -72,7 +72,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             yield out()
 
     small_batches(docs.sparkSession)
-    return staged(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(rows, _PIECE), by_task=True)
+    return staged(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(owned("tokens", rows), _PIECE), by_task=True)
 
 
 class Gaps:
@@ -174,8 +174,8 @@ def best_fit(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     of_range = F.expr(f"(size - 1) * {RANGES} div {capacity}")
     while (found := state.agg(F.count(F.when(F.col("kind") == "doc", 1)).alias("docs"), F.max(F.when(F.col("kind") == "gap", F.col("high"))).alias("high")).first()).docs:
         used = max(used, found.high or 0)
-        ranged = state.where("kind != 'rule'").repartition(RANGES, of_range).mapInArrow(_swept(capacity, RANGES), _RUNS)
-        state = staged(ranged.repartition(1).mapInArrow(_swept(capacity, 1, used), _RUNS))  # runs, not documents: their number is bounded
+        ranged = state.where("kind != 'rule'").repartition(RANGES, of_range).mapInArrow(owned("packing", _swept(capacity, RANGES)), _RUNS)
+        state = staged(ranged.repartition(1).mapInArrow(owned("packing", _swept(capacity, 1, used)), _RUNS))  # runs, not documents: their number is bounded
         rules = rules.unionByName(state.where("kind = 'rule'"))
     return rules.drop("kind")
 

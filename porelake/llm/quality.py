@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from porelake.llm.common import small_batches, staged
+from porelake.llm.common import owned, small_batches, staged
 
 #: Documents of a host that may share a line; share of words to be kept.
 LINE_DOCS, LEAST_KEPT = 20, 0.2
@@ -76,7 +76,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.int64()), *(pa.array([x[i] for x in found], pa.int64()) for i in range(5)), pa.array(lines, _LINES)], ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
     small_batches(docs.sparkSession)
-    return staged(docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(cast(source as string), '') as host", "cast(text as string) as text").mapInArrow(rows, _MEASURED))
+    return staged(docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(cast(source as string), '') as host", "cast(text as string) as text").mapInArrow(owned("quality", rows), _MEASURED))
 
 
 def removed_words(found: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
@@ -129,7 +129,7 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.int64())], [*batch.schema.names, "_porelake_text_hash"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    hashed = docs.mapInArrow(rows, f"{schema}, _porelake_text_hash long")
+    hashed = docs.mapInArrow(owned("quality", rows), f"{schema}, _porelake_text_hash long")
     same = hashed["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.coalesce(hashed["source"].cast("string"), F.lit("")) == bad["_host"]) & (hashed["_porelake_text_hash"] == bad["_hash"])
     return hashed.join(bad, same, "left_anti").drop("_porelake_text_hash")
 

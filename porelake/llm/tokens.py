@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from porelake.llm.common import KEPT
+
 #: Words a worker remembers, starting anew beyond them, and bytes of texts that encode_batch() takes at once.
 CACHE_WORDS, BATCH_CHARS = 400_000, 4 << 20
 
@@ -198,11 +200,11 @@ def _slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
     return [*out, (at, len(sizes) - at)] if len(sizes) > at else out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = KEPT.setdefault("tokens", {})
 
 
 def encoder(path: str, cache_words: int = CACHE_WORDS, batch_chars: int = BATCH_CHARS) -> Encoder:
-    """The worker's encoder for a vocabulary file; it and its cache live on from task to task."""
+    """The worker's encoder for a vocabulary file; it and its cache live on from task to task of one operator."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path, cache_words, batch_chars)
     return _ENCODERS[path]
